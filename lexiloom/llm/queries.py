@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import canonical, dressed, survivor
+from . import canonical, dressed, leakage, survivor
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -60,6 +60,15 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d, 30 * 86400.0)
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    found = leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+    return found.where("exact").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
+
+
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -69,6 +78,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_records": p6_records,
+        "p9_found": p9_found,
+        "p9_leaks": p9_leaks,
     }
 
 
