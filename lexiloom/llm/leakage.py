@@ -59,11 +59,15 @@ def fingerprints(hashes: np.ndarray, window: int) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1)
-    total = np.zeros((len(bits) + 1, 64), np.int32)
-    np.cumsum(bits, axis=0, dtype=np.int32, out=total[1:])
+    # running sums may wrap round: the difference of two is below the window's length
+    kind = np.uint8 if window < 256 else np.uint32
+    total = np.zeros((len(bits) + 1, 64), kind)
+    np.cumsum(bits, axis=0, dtype=kind, out=total[1:])
     ones = total[window:] - total[:-window]
     # an even split is settled by the first word of the window, alike on both sides
-    up = (2 * ones > window) | ((2 * ones == window) & (bits[:n] == 1))
+    up = ones > kind(window // 2)
+    if window % 2 == 0:
+        up |= (ones == kind(window // 2)) & (bits[:n] == 1)
     return np.packbits(up, axis=1).view("<u8").ravel()
 
 
@@ -102,7 +106,10 @@ class Items:
         count: Counter = Counter()
         for h in hashed:
             count.update(set(shingles(h, size).tolist()))
-        self.weight = {k: math.log(1 + len(rows) / n) for k, n in count.items()}
+        self.known = np.array(sorted(count) or [0], dtype=np.uint64)
+        self.known_weight = np.array([math.log(1 + len(rows) / count[k]) if count else 0.0 for k in self.known.tolist()])
+        self.parts = shingles(self.words, size)
+        self.part_weight = self.known_weight[np.minimum(np.searchsorted(self.known, self.parts), len(self.known) - 1)]
         blocks = radius + 1
         edges = [64 * k // blocks for k in range(blocks + 1)]
         self.cuts = [(np.uint64(edges[k]), np.uint64((1 << (edges[k + 1] - edges[k])) - 1)) for k in range(blocks)]
@@ -139,14 +146,21 @@ class Items:
         pairs = np.unique(np.concatenate(left).astype(np.int64) * (len(self.prints) + 1) + np.concatenate(right))
         return pairs // (len(self.prints) + 1), pairs % (len(self.prints) + 1)
 
-    def similarity(self, doc: np.ndarray, a: int, b: int) -> float:
-        """Weighted Jaccard of the shingles of two windows."""
-        x = set(shingles(doc[a : a + self.window], self.size).tolist())
-        y = set(shingles(self.words[self.starts[b] : self.starts[b] + self.window], self.size).tolist())
-        w = self.weight
-        base = math.log(2)
-        both = sum(w.get(k, base) for k in x & y)
-        return both / max(sum(w.get(k, base) for k in x | y), 1e-12)
+    def similarity(self, doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Weighted Jaccard of the shingle sets of pairs of windows: document windows ``a``, item windows ``b``."""
+        span = np.arange(self.window - self.size + 1)
+        x = shingles(doc, self.size)[a[:, None] + span]
+        at = self.starts[b][:, None] + span
+        y, wy = self.parts[at], self.part_weight[at]
+        k = np.minimum(np.searchsorted(self.known, x), max(len(self.known) - 1, 0))
+        wx = np.where(self.known[k] == x, self.known_weight[k], math.log(2))
+        for m in range(1, len(span)):  # a shingle that stands twice counts once
+            wx[:, m] *= (x[:, m : m + 1] != x[:, :m]).all(axis=1)
+            wy = np.where((np.arange(len(span)) == m) & (y[:, m : m + 1] == y[:, :m]).any(axis=1, keepdims=True), 0.0, wy)
+        both = np.zeros(len(a))
+        for m in range(len(span)):
+            both += wx[:, m] * (x[:, m : m + 1] == y).any(axis=1)
+        return both / np.maximum(wx.sum(axis=1) + wy.sum(axis=1) - both, 1e-12)
 
 
 def _search(rows: list[tuple[int, str]], window: int, radius: int, size: int, least: float):
@@ -186,14 +200,17 @@ def _scan(items: Items, docs: list[np.ndarray], ids: list[int], least: float) ->
         return []
     span = np.arange(items.window)
     same = (joined[a[:, None] + span] == items.words[items.starts[b][:, None] + span]).all(axis=1)
+    alike = np.ones(len(a))
+    other = np.flatnonzero(~same)
+    if len(other):
+        alike[other] = items.similarity(joined, a[other], b[other])
+    keep = alike >= least
     out: dict[tuple[int, int], list] = {}
-    for x, y, equal in zip(a.tolist(), b.tolist(), same.tolist()):
-        s = 1.0 if equal else items.similarity(joined, x, y)
-        if s >= least:
-            seen = out.setdefault((owner[x], int(items.ids[y])), [set(), 0.0, False])
-            seen[0].add(x)
-            seen[1] = max(seen[1], s)
-            seen[2] |= equal
+    for x, d, item, s, equal in zip(a[keep].tolist(), owner[a[keep]].tolist(), items.ids[b[keep]].tolist(), alike[keep].tolist(), same[keep].tolist()):
+        seen = out.setdefault((d, item), [set(), 0.0, False])
+        seen[0].add(x)
+        seen[1] = max(seen[1], s)
+        seen[2] |= equal
     return [(ids[d], item, len(v[0]), v[1], v[2]) for (d, item), v in out.items()]
 
 
