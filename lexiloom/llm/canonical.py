@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .forms import INVISIBLE, LOOKALIKE_FROM, LOOKALIKE_TO, ODD_SPACE, compose
 
 ALPHABETS = "[\\p{IsCyrillic}\\p{IsGreek}]"
@@ -25,8 +26,12 @@ TOKEN = "[\\p{L}\\p{M}]+"
 _JAMO = "".join(map(chr, range(0x3131, 0x318F)))
 _HIDE = "".join(map(chr, range(0xE000, 0xE000 + len(_JAMO))))
 _CUT = "\x01"
-#: Only texts that match may hold any case; plain ASCII, Hangul, kana and Han need no look.
-SUSPECT = f"[{INVISIBLE}{ODD_SPACE}\\p{{M}}\\u1100-\\u11FF\\uA960-\\uA97F\\uD7B0-\\uD7FF\\uFB00-\\uFB4F\\uFE70-\\uFEFC\\uFF10-\\uFF19\\uFF21-\\uFF3A\\uFF41-\\uFF5A\\uFF66-\\uFF9F\\u0132\\u0133\\u01C4-\\u01CC\\u02B0-\\u02FF\\u00AA\\u00B2\\u00B3\\u00B9\\u00BA\\u00BC-\\u00BE\\u2070-\\u209F\\u2100-\\u218B\\u2460-\\u24FF\\u2C7C\\u2C7D\\u3192-\\u319F\\u3200-\\u33FF\\uF900-\\uFAFF\\x{{1D400}}-\\x{{1D7FF}}\\x{{1F100}}-\\x{{1F16F}}]|{ALPHABETS}"
+#: A text of these characters only holds no case: ASCII, accented Latin, Greek, Cyrillic,
+#: Hangul, kana, Han, usual punctuation (look-alike letters are looked for on their own, below).
+#: It is one short list of ranges, as this look is taken at every character of the corpus.
+UNUSUAL = "[^\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u01C3\\u0386-\\u03CE\\u0400-\\u045F\\u1E00-\\u1EFF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\u30FE\\u4E00-\\u9FFF\\u3001-\\u3011\\uFF01-\\uFF0F\\uFF1A-\\uFF1F\\u2010-\\u2027]"
+#: A Latin letter beside a letter of another alphabet, marks and hidden characters between them included.
+MIXED = f"\\p{{IsLatin}}[\\p{{M}}{INVISIBLE}]*{ALPHABETS}|{ALPHABETS}[\\p{{M}}{INVISIBLE}]*\\p{{IsLatin}}"
 # Latin letters as their Cyrillic twins, from the same table
 _BACK = {b: a for a, b in reversed(list(zip(LOOKALIKE_FROM, LOOKALIKE_TO))) if "Ѐ" <= a <= "ӿ"}
 _LATIN, _CYRILLIC = "".join(_BACK), "".join(_BACK.values())
@@ -39,7 +44,7 @@ def plain_letters(c: Column) -> Column:
 def form_case(c: Column) -> Column:
     """True where ``c`` holds a width, compatibility or decomposed form, an invisible mark or an odd space."""
     letters = plain_letters(F.regexp_replace(c, f"[{INVISIBLE}]", ""))
-    return F.when(c.rlike(SUSPECT), c.rlike(f"[{INVISIBLE}\\u00A0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000]") | (compose(F.coalesce(letters, F.lit(""))) != letters)).otherwise(False)
+    return F.when(c.rlike(UNUSUAL), c.rlike(f"[{INVISIBLE}\\u00A0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000]") | (compose(F.coalesce(letters, F.lit(""))) != letters)).otherwise(False)
 
 
 def form_repaired(c: Column) -> Column:
@@ -51,7 +56,7 @@ def form_repaired(c: Column) -> Column:
     words = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[\\p{L}\\p{M}\\p{N}\\uE000-\\uE0FF]"), p).otherwise("")), "\\u0001".encode().decode("unicode_escape"))
     composed = F.split(compose(words), "\\u0001".encode().decode("unicode_escape"))
     joined = F.array_join(F.zip_with(pieces, composed, lambda p, w: F.when(p.rlike("^[\\p{L}\\p{M}\\p{N}\\uE000-\\uE0FF]"), w).otherwise(p)), "")
-    return F.when(c.rlike(SUSPECT), F.translate(joined, _HIDE, _JAMO)).otherwise(c)
+    return F.when(c.rlike(UNUSUAL), F.translate(joined, _HIDE, _JAMO)).otherwise(c)
 
 
 def texts_of(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
@@ -62,11 +67,13 @@ def texts_of(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 def _candidates(long: DataFrame) -> DataFrame:
     """``key, field, token, word, mixed``: tokens that may hide look-alikes, with what they may stand for."""
-    foreign = long.where(F.col("text").rlike(ALPHABETS)).select("key", "field", form_repaired(F.col("text")).alias("_r"))
-    latin = F.length(F.regexp_replace("_r", "[^\\p{IsLatin}]", ""))
-    other = F.length(F.regexp_replace("_r", f"[^{ALPHABETS[1:-1]}]", ""))
+    latin = F.length(F.regexp_replace("text", "[^\\p{IsLatin}]", ""))
+    other = F.length(F.regexp_replace("text", f"[^{ALPHABETS[1:-1]}]", ""))
+    foreign = long.where(F.col("text").rlike(ALPHABETS)).select("key", "field", "text", (latin >= other).alias("_latin_text"))
+    # a text in another alphabet with foreign words beside its own is no suspect unless a token mixes them
+    foreign = foreign.where(F.col("_latin_text") | F.col("text").rlike(MIXED)).select("key", "field", "_latin_text", form_repaired(F.col("text")).alias("_r"))
     tokens = foreign.select(
-        "key", "field", (latin >= other).alias("_latin_text"), F.explode(F.array_distinct(F.regexp_extract_all("_r", F.lit(TOKEN), 0))).alias("token")
+        "key", "field", "_latin_text", F.explode(F.array_distinct(F.regexp_extract_all("_r", F.lit(TOKEN), 0))).alias("token")
     ).where(F.col("token").rlike(ALPHABETS))
     mixed = F.col("token").rlike("\\p{IsLatin}")
     to_latin = F.translate("token", LOOKALIKE_FROM, LOOKALIKE_TO)
@@ -89,10 +96,12 @@ def repairs(long: DataFrame, corpus: DataFrame) -> DataFrame:
 
     ``corpus`` has a column ``text``; its words are counted where they are candidates, all texts included.
     """
-    found = _candidates(long)
+    found = cut(_candidates(long))  # read twice below
     wanted = found.select(F.lower("word").alias("_w")).distinct()
-    clean = corpus.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), 0)).alias("_w"))
-    known = clean.join(wanted, "_w", "left_semi").groupBy("_w").agg(F.count(F.lit(1)).alias("_n"))
+    # repeated texts are read for words once, and words are counted before they move
+    texts = corpus.groupBy("text").agg(F.count(F.lit(1)).alias("_c"))
+    clean = texts.select("_c", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("_w"))
+    known = clean.groupBy("_w").agg(F.sum("_c").alias("_n")).join(wanted, "_w", "left_semi")
     scored = found.withColumn("_w", F.lower("word")).join(known, "_w", "left")
     suits = F.coalesce(F.col("_n"), F.lit(0)) * F.when(F.col("_latin_token") == F.col("word").rlike("\\p{IsLatin}"), 4).otherwise(1)
     best = scored.groupBy("key", "field", "token").agg(F.max("mixed").alias("mixed"), F.max_by("word", F.when(suits > 0, suits)).alias("word"))
