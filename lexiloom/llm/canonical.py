@@ -29,7 +29,7 @@ _CUT = "\x01"
 #: A text of these characters only holds no case: ASCII, accented Latin, Greek, Cyrillic,
 #: Hangul, kana, Han, usual punctuation (look-alike letters are looked for on their own, below).
 #: It is one short list of ranges, as this look is taken at every character of the corpus.
-UNUSUAL = "[^\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u01C3\\u0386-\\u03CE\\u0400-\\u045F\\u1E00-\\u1EFF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\u30FE\\u4E00-\\u9FFF\\u3001-\\u3011\\uFF01-\\uFF0F\\uFF1A-\\uFF1F\\u2010-\\u2027]"
+USUAL = "\\A[\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u01C3\\u0386-\\u03CE\\u0400-\\u045F\\u1E00-\\u1EFF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\u30FE\\u4E00-\\u9FFF\\u3001-\\u3011\\uFF01-\\uFF0F\\uFF1A-\\uFF1F\\u2010-\\u2027]*\\z"
 #: A Latin letter beside a letter of another alphabet, marks and hidden characters between them included.
 MIXED = f"\\p{{IsLatin}}[\\p{{M}}{INVISIBLE}]*{ALPHABETS}|{ALPHABETS}[\\p{{M}}{INVISIBLE}]*\\p{{IsLatin}}"
 # Latin letters as their Cyrillic twins, from the same table
@@ -37,6 +37,11 @@ _BACK = {b: a for a, b in reversed(list(zip(LOOKALIKE_FROM, LOOKALIKE_TO))) if "
 _LATIN, _CYRILLIC = "".join(_BACK), "".join(_BACK.values())
 
 
+def unusual(c: Column) -> Column:
+    """True where ``c`` holds a character beyond the usual ones; plain ASCII is settled first."""
+    return c.rlike("[^\\x00-\\x7F]") & ~c.rlike(USUAL)
+
+
 def plain_letters(c: Column) -> Column:
     return F.translate(F.regexp_replace(c, "[^\\p{L}\\p{M}\\p{N}]+", " "), _JAMO, "")
 
@@ -44,7 +49,7 @@ def plain_letters(c: Column) -> Column:
 def form_case(c: Column) -> Column:
     """True where ``c`` holds a width, compatibility or decomposed form, an invisible mark or an odd space."""
     letters = plain_letters(F.regexp_replace(c, f"[{INVISIBLE}]", ""))
-    return F.when(c.rlike(UNUSUAL), c.rlike(f"[{INVISIBLE}\\u00A0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000]") | (compose(F.coalesce(letters, F.lit(""))) != letters)).otherwise(False)
+    return F.when(unusual(c), c.rlike(f"[{INVISIBLE}\\u00A0\\u1680\\u2000-\\u200A\\u202F\\u205F\\u3000]") | (compose(F.coalesce(letters, F.lit(""))) != letters)).otherwise(False)
 
 
 def form_repaired(c: Column) -> Column:
@@ -56,7 +61,7 @@ def form_repaired(c: Column) -> Column:
     words = F.array_join(F.transform(pieces, lambda p: F.when(p.rlike("^[\\p{L}\\p{M}\\p{N}\\uE000-\\uE0FF]"), p).otherwise("")), "\\u0001".encode().decode("unicode_escape"))
     composed = F.split(compose(words), "\\u0001".encode().decode("unicode_escape"))
     joined = F.array_join(F.zip_with(pieces, composed, lambda p, w: F.when(p.rlike("^[\\p{L}\\p{M}\\p{N}\\uE000-\\uE0FF]"), w).otherwise(p)), "")
-    return F.when(c.rlike(UNUSUAL), F.translate(joined, _HIDE, _JAMO)).otherwise(c)
+    return F.when(unusual(c), F.translate(joined, _HIDE, _JAMO)).otherwise(c)
 
 
 def texts_of(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
