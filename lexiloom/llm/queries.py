@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import canonical, dressed, leakage, survivor
+from . import canonical, dressed, forms, leakage, near, survivor
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -36,6 +36,17 @@ def p3_records(spark: SparkSession, d: str) -> DataFrame:
     return dressed.collapse(rows.where("code is not null"), "pair_id", ["code"], "source_text")
 
 
+def _descriptions(spark: SparkSession, d: str) -> DataFrame:
+    rows = load(spark, d, "rag_pairs").where(F.lower(F.trim("section_code")).endswith("description"))
+    return rows.select("pair_id", _matcher(spark, d).named(F.col("target_lang")).alias("code"), "source_text")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    same = dressed.bare(forms.skeleton(F.col("source_text")))
+    found = near.near_rows(_descriptions(spark, d), "pair_id", "code", "source_text", same, least=0.45, size=3)
+    return found.select(F.col("a").alias("pair_id_a"), F.col("b").alias("pair_id_b")).distinct()
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_values(load(spark, d, "rag_pairs"), load(spark, d, "glossary_locales"), load(spark, d, "sheet_langs"))
 
@@ -75,6 +86,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p1_canonical": p1_canonical,
         "p3_found": p3_found,
         "p3_records": p3_records,
+        "p4_found": p4_found,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_records": p6_records,
