@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import canonical, dressed, forms, leakage, near, survivor
+from . import canonical, dressed, forms, leakage, near, pii, survivor
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -80,6 +80,16 @@ def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    return pii.found_rows(documents, pii.train(documents))
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    documents = load(spark, d, "documents")
+    return pii.redact(documents, pii.train(documents))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
@@ -92,6 +102,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_records": p6_records,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
+        "p10_found": p10_found,
+        "p10_redacted": p10_redacted,
     }
 
 
