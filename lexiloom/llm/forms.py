@@ -28,7 +28,7 @@ def skeleton(c: Column) -> Column:
     """
     shown = F.regexp_replace(c, f"[{INVISIBLE}]", "")
     odd = c.rlike("[^\\x00-\\x7F\\uAC00-\\uD7A3]")
-    return F.lower(F.translate(F.when(odd, compose(F.coalesce(shown, F.lit("")))).otherwise(c), LOOKALIKE_FROM, LOOKALIKE_TO))
+    return F.lower(F.when(odd, F.translate(compose(F.coalesce(shown, F.lit(""))), LOOKALIKE_FROM, LOOKALIKE_TO)).otherwise(c))
 
 
 def blank(c: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import canonical, dressed, forms, leakage, near, pii, survivor
+from . import canonical, dressed, forms, langid, leakage, near, pii, survivor
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -71,6 +71,30 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d, 30 * 86400.0)
 
 
+def _languages(spark: SparkSession, d: str) -> DataFrame:
+    m = _matcher(spark, d)
+    rows = load(spark, d, "rag_pairs").select(
+        "pair_id", "target_text", "original_file",
+        m.iso(m.named(F.col("target_sheet"))).alias("declared"),
+        m.iso(m.named(F.col("target_lang"))).alias("suffix"),
+        survivor.story_number().alias("story"),
+    )
+    pairs, langs = load(spark, d, "rag_pairs"), load(spark, d, "sheet_langs")
+    targets = pairs.join(F.broadcast(langs.select(F.col("sheet").alias("target_sheet"), "iso")), "target_sheet").select("pair_id", F.col("target_text").alias("text"), "iso")
+    # source texts are labelled by their group; they teach languages that are rarely a target
+    sources = pairs.select("pair_id", F.col("source_text").alias("text"), F.when(F.col("source_group") == "kr", "ko").when(F.col("source_group") == "us", "en").alias("iso"))
+    model = langid.train(targets.unionByName(sources.where("pmod(xxhash64(text), 16) = 0")), "text", "iso", "pair_id")
+    return langid.languages(rows, model, "pair_id", "target_text", "declared", "suffix", "original_file", "story")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.mislabelled(_languages(spark, d), "pair_id")
+
+
+def p7_languages(spark: SparkSession, d: str) -> DataFrame:
+    return _languages(spark, d)
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
     return found.where("exact").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
@@ -100,6 +124,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_records": p6_records,
+        "p7_found": p7_found,
+        "p7_languages": p7_languages,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
         "p10_found": p10_found,
