@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import canonical, dressed, forms, langid, leakage, near, pii, survivor
+from . import canonical, dressed, forms, langid, leakage, near, packing, pii, survivor, tokens
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -25,6 +25,17 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(load(spark, d, "rag_pairs"), "pair_id", ["source_text", "target_text"])
 
 
+def p2_token_totals(spark: SparkSession, d: str) -> DataFrame:
+    code = _matcher(spark, d).named(F.col("target_lang"))
+    slices = {"source_group": F.col("source_group"), "original_file": F.col("original_file"), "language": code, "section_kind": tokens.section_kind(F.col("section_code"))}
+    return tokens.token_totals(load(spark, d, "rag_pairs"), "target_text", tokens.longest_match(spark), slices)
+
+
+def p2_row_tokens(spark: SparkSession, d: str) -> DataFrame:
+    count = tokens.longest_match(spark)
+    return load(spark, d, "rag_pairs").select("pair_id", count(F.col("target_text")).alias("tokens"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     rows = load(spark, d, "rag_pairs").select("pair_id", "target_lang", "source_text")
     rows = rows.select("pair_id", _matcher(spark, d).named(F.col("target_lang")).alias("code"), "source_text")
@@ -95,6 +106,18 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
     return _languages(spark, d)
 
 
+def _limits(spark: SparkSession, d: str) -> list[tuple[int, int]]:
+    return [(r["limit_id"], r["max_tokens"]) for r in load(spark, d, "pack_limits").orderBy("limit_id").limit(100).collect()]
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(load(spark, d, "documents"), _limits(spark, d), tokens.byte_pair(spark))
+
+
+def p8_use_of_space(spark: SparkSession, d: str) -> DataFrame:
+    return packing.use_of_space(p8_containers(spark, d), _limits(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
     return found.where("exact").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
@@ -118,6 +141,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_canonical": p1_canonical,
+        "p2_token_totals": p2_token_totals,
+        "p2_row_tokens": p2_row_tokens,
         "p3_found": p3_found,
         "p3_records": p3_records,
         "p4_found": p4_found,
@@ -126,6 +151,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p6_records": p6_records,
         "p7_found": p7_found,
         "p7_languages": p7_languages,
+        "p8_containers": p8_containers,
+        "p8_use_of_space": p8_use_of_space,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
         "p10_found": p10_found,
