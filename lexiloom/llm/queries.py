@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
-from . import canonical, dressed, forms, langid, leakage, near, packing, pii, survivor, tokens
+from . import canonical, dressed, langid, leakage, near, packing, pii, survivor, tokens
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -53,8 +53,7 @@ def _descriptions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    same = dressed.bare(forms.skeleton(F.col("source_text")))
-    found = near.near_rows(_descriptions(spark, d), "pair_id", "code", "source_text", same, least=0.45, size=3)
+    found = near.near_rows(_descriptions(spark, d), "pair_id", "code", "source_text", least=0.45, size=3)
     return found.select(F.col("a").alias("pair_id_a"), F.col("b").alias("pair_id_b")).distinct()
 
 
