@@ -1 +1,5 @@
-MODULES: list = []
+"""The core's queries, by area."""
+
+from . import event_queries, glossary_queries, memory_queries, text_queries
+
+MODULES: list = [memory_queries, glossary_queries, text_queries, event_queries]
