@@ -29,7 +29,7 @@ def comments(c: Column) -> Column:
 
 def block(text: Column, name: str) -> Column:
     """What stands after the label ``[상세 - name]`` up to the next such label or the end."""
-    return F.trim(F.regexp_extract(text, f"(?s)\\[상세 - \\Q{name}\\E\\](.*?)(?:\\n\\[상세 - |\\z)", 1))
+    return F.regexp_replace(F.regexp_extract(text, f"(?s)\\[상세 - \\Q{name}\\E\\](.*?)(?:\\n\\[상세 - |\\z)", 1), "^\\s+|\\s+$", "")
 
 
 def field(text: Column, labels: list[str]) -> Column:

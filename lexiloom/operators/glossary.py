@@ -80,7 +80,7 @@ def imported(existing: DataFrame, new: DataFrame, key: str, replace: bool) -> tu
     kept = base.join(coded.select(key), key, "left_anti")
     merged = coded.join(base.select(key, F.col("sort_order").alias("_so")), key, "left").withColumn("sort_order", F.coalesce("_so", "sort_order"))
     counts = coded.agg(F.count_if("created").alias("created"), F.count_if(~F.col("created")).alias("updated"))
-    return kept.unionByName(merged.select(*existing.columns)), counts
+    return kept.select(*existing.columns).unionByName(merged.select(*existing.columns)), counts
 
 
 def cascade_delete(terms: DataFrame, translations: DataFrame, where: Column) -> tuple[DataFrame, DataFrame]:

@@ -118,9 +118,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, most: float = math.i
         part = asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b) if blocks > 1 else asked
         rows = part.collect()
         ids = np.array([r["id"] for r in rows], np.int64)
-        m = np.array([r["v"] for r in rows], np.float64).reshape(len(rows), -1)
-        if not len(rows):
-            m = np.zeros((0, 1))
+        m = np.array([r["v"] for r in rows], np.float64) if rows else np.zeros((0, 1))
         norm = np.linalg.norm(m, axis=1, keepdims=True) if len(rows) else np.ones((0, 1))
         m = m / np.where(norm == 0, 1, norm)
         held = vectors.where(usable).select(F.col("id").cast("long").alias("id"), "v")
