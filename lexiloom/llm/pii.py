@@ -44,7 +44,7 @@ LOCAL = re.compile(r"[A-Za-z0-9][A-Za-z0-9._+-]*( ?)$")
 DOT = r"(?: ?(?:\[dot\]|\(dot\)|(?<= )dot(?= )) ?|\.)"
 DOMAIN = re.compile(rf" ?[A-Za-z0-9-]+(?:{DOT}[A-Za-z0-9-]+)*{DOT}[A-Za-z]{{2,}}(?!\w)", re.I)
 # patterns start with a set of characters, which the engine finds fast; what stands before is looked at afterwards
-NUMBER = re.compile(r"\d(?:[ ().\-]{0,3}\d){6,17}(?:-?[A-Z](?!\w)|(?<=\d\d) [A-Z](?!\w))?(?!\w|\.\d|-\d)")
+NUMBER = re.compile(r"\d(?:[ ().\-]{0,3}\d){5,17}(?:-?[A-Z](?!\w)|(?<=\d\d) [A-Z](?!\w))?(?!\w|\.\d|-\d)")
 LETTERS = re.compile(r"(?:^|[^\w.\-/+＠@])(?!ID|NO|NR|N |V |C )([A-Z]{1,2} ?)$")
 # Words that make a street, by language
 STREET_EN = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Court|Ct|Drive|Dr|Boulevard|Blvd|Way|Place|Pl|Square|Sq|Terrace|Close|Crescent|Highway|Parkway"
@@ -74,6 +74,7 @@ TITLE = {"ms", "mr", "mrs", "dr", "prof", "sr", "sra", "herr", "frau", "mme", "m
 CUE_PHONE = {"tel", "tel.", "phone", "call", "fallback", "unter", "au", "el", "연락처는", "reached", "telefon", "mobile", "fax", "전화", "씨가", "과장", "at"}
 CUE_ID = {"id", "number", "ausweisnummer", "numéro", "documento", "list", "주민번호", "passport", "nif", "dni", "ssn", "등록번호", "여권번호", "steuernummer"}
 CUE_NONE = {"no", "no.", "ticket", "part", "firmware", "host", "batch", "build", "model", "eur", "size", "version", "order", "row", "line", "range", "serial", "usd", "v"}
+NO_NAME = TITLE | CUE_PHONE | CUE_ID | CUE_NONE | {"apt", "st", "ave"}
 KO_AFTER = ("님", "씨", "과장", "대리", "부장", "팀장", "차장", "사원", "주임")
 KO_BEFORE = {"담당", "등록", "사람", "담당자", "검수자", "수신", "발신"}
 
@@ -122,7 +123,7 @@ def name_candidates(text: str, model: Model | None) -> Iterator[Candidate]:
         first, sep, initial, last, after_initial = m.groups()
         if m.start() and (text[m.start() - 1] in "@＠./-_" or text[m.start() - 1].isalnum()):
             continue
-        if first.lower() in TITLE or last.lower() in TITLE:
+        if first.lower() in NO_NAME or last.lower() in NO_NAME:
             continue
         if sep == ", ":
             initial = None
@@ -172,7 +173,7 @@ def number_candidates(text: str) -> Iterator[Candidate]:
         bw, bp, ap, aw = _around(text, start, end)
         shape = re.sub(r"\d", "0", s)
         digits = re.sub(r"\D", "", s)
-        if len(digits) < 7 and not (s[0].isalpha() or s[-1].isalpha()):
+        if len(digits) < 7 and not (letters and s[-1].isalpha()):
             continue
         two = " ".join(re.findall(r"[^\W\d_]+", text[max(0, start - 30) : start].lower())[-2:])
         features = [_h("n", shape), _h("nl", str(len(digits))), _h("np", s[:3]), _h("np2", s[:2]), _h("na", str(s[0].isalpha()) + str(s[-1].isalpha())), _h("nb", bw), _h("nb2", two), _h("nbp", bp[-1:]), _h("nap", ap[:1]), _h("naw", aw), _h("nbias")]
@@ -181,7 +182,7 @@ def number_candidates(text: str) -> Iterator[Candidate]:
         weak = 0 if near in CUE_NONE else 3 if near in CUE_ID else 2 if bw in CUE_PHONE or s[0] == "+" else None
         if re.fullmatch(r"\d{4}[-./]\d\d[-./]\d\d.*|\d{1,3}(\.\d{1,3}){3}", s):  # a date, a network address
             weak = 0
-        elif re.fullmatch(r"\d{6} ?- ?\d{7}", s):  # a resident registration number
+        elif re.fullmatch(r"\d\d(?:0[1-9]|1[0-2])(?:[0-2]\d|3[01])(?: ?- ?)?\d{7}", s):  # a resident registration number begins with a date
             weak = 3
         yield Candidate(start, end, "number", features, (digits,), weak)
 
@@ -307,7 +308,7 @@ def _weak_names(cands: list[Candidate], text: str) -> None:
                     c.weak = 5
 
 
-def fit(texts: list[str], rounds: int = 6, rate: float = 0.3) -> Model:
+def fit(texts: list[str], rounds: int = 12, rate: float = 0.5) -> Model:
     """Local weights by logistic regression on cue labels, edge potentials from how often labels meet."""
     model = Model()
     docs = [candidates(t) for t in texts]
@@ -315,7 +316,7 @@ def fit(texts: list[str], rounds: int = 6, rate: float = 0.3) -> Model:
         _weak_names(cands, t)
         for a, b in zip(cands, cands[1:]):
             # a number on its own after a name or an address is taken for a phone's
-            if b.group == "number" and b.weak is None and a.group in ("address", "name", "name_ko") and 0 < b.start - a.end < 4:
+            if b.group == "number" and b.weak is None and a.group in ("address", "name", "name_ko") and t[a.end : b.start] in (", ", "\n"):
                 b.weak = 2
     family = {c.tokens[0] for d in docs for c in d if c.group == "name" and c.weak == 5}
     given = {c.tokens[1] for d in docs for c in d if c.group == "name" and c.weak == 5}
