@@ -35,8 +35,8 @@ K = len(LABELS)
 TRAIN_DOCS = 3_000
 HASH_BITS = 18
 ROUNDS = 5
-#: Distance in characters up to which two neighbours share a chain edge, and the bound of an edge's potential.
-NEAR, EDGE = 60, 1.5
+#: Distance in characters up to which two neighbours share a chain edge, and the bounds of a chain's and a skip edge's potential.
+NEAR, EDGE, SKIP = 60, 1.5, 4.0
 
 UP = "A-ZÀ-ÖØ-Þ"
 AT = re.compile(r"[@＠]|[\[(][aA][tT][\])]|[aA][tT](?= )")
@@ -359,12 +359,12 @@ def fit(texts: list[str], rounds: int = 12, rate: float = 0.5) -> Model:
                 apart[x, y] += 1
                 apart[y, x] += 1
     share = mine / mine.sum()
-    for name, table in (("chain", met), ("skip", apart)):
+    for name, table, weight, most in (("chain", met, 0.5, EDGE), ("skip", apart, 1.5, SKIP)):
         ratio = np.log(table / table.sum() + 1e-4) - np.log(share[:, None] * share[None, :] + 1e-4)
-        setattr(model, name, np.clip(0.5 * ratio, -EDGE, EDGE).astype(np.float32))
+        setattr(model, name, np.clip(weight * ratio, -most, most).astype(np.float32))
     # beside the two words stand the context's features; no context and no messages can lift a pair below this
     contexts = [float(w[5, c.features[12:]].sum()) for c in train if c.group == "name"]
-    model.floor = -(max(contexts, default=0.0) + 3 * EDGE)
+    model.floor = -(max(contexts, default=0.0) + 2 * EDGE + SKIP)
     return model
 
 
@@ -415,7 +415,7 @@ def infer(model: Model, docs: list[list[Candidate]]) -> list[np.ndarray]:
             top = out.max(axis=1)
             new = top + np.log(np.exp(out - top[:, None, :]).sum(axis=1))
             new -= new.mean(axis=1, keepdims=True)
-            msg = 0.5 * msg + 0.5 * np.clip(new, -2 * EDGE, 2 * EDGE)
+            msg = 0.5 * msg + 0.5 * np.clip(new, -SKIP, SKIP)
         belief = unary.copy()
         np.add.at(belief, b, msg)
     p = np.exp(belief - belief.max(axis=1, keepdims=True))
