@@ -148,26 +148,26 @@ def glossary_rules(spark, d):
 
 
 @query("""
-with e as (select * from glossary_terms where id % 2 = 0), n as (select source_key, rule_text, sort_order from glossary_terms where id % 3 = 0),
+with e as (select * from glossary_terms where rule_text is null), n as (select source_key, rule_text, sort_order from glossary_terms),
 f as (select n.*, row_number() over (order by n.source_key) + (select max(id) from e) as id from n where source_key not in (select source_key from e))
-select id, source_key, rule_text, sort_order from e where source_key not in (select source_key from n)
-union all select e.id, n.source_key, n.rule_text, e.sort_order from n join e using (source_key)
-union all select id, source_key, rule_text, sort_order from f
+select cast(id as int) as id, source_key, rule_text, sort_order from e where source_key not in (select source_key from n)
+union all select cast(e.id as int), n.source_key, n.rule_text, e.sort_order from n join e using (source_key)
+union all select cast(id as int), source_key, rule_text, sort_order from f
 """)
 def glossary_merge_import(spark, d):
-    """An import merged by natural key; new terms get the next numbers, known ones keep their order."""
+    """The whole glossary imported over the terms without a rule; new terms get the next numbers, known ones keep their order."""
     t = load(spark, d, "glossary_terms")
-    return G.imported(t.where("id % 2 = 0"), t.where("id % 3 = 0").drop("id"), "source_key", replace=False)[0]
+    return G.imported(t.where("rule_text is null"), t.drop("id"), "source_key", replace=False)[0]
 
 
 @query("""
-with e as (select * from glossary_terms where id % 2 = 0), n as (select source_key from glossary_terms where id % 3 = 0)
+with e as (select * from glossary_terms where rule_text is null), n as (select source_key from glossary_terms)
 select count(*) filter (where source_key not in (select source_key from e)) as created, count(*) filter (where source_key in (select source_key from e)) as updated from n
 """)
 def glossary_import_counts(spark, d):
     """A23."""
     t = load(spark, d, "glossary_terms")
-    return G.imported(t.where("id % 2 = 0"), t.where("id % 3 = 0").drop("id"), "source_key", replace=False)[1]
+    return G.imported(t.where("rule_text is null"), t.drop("id"), "source_key", replace=False)[1]
 
 
 @query("""select term_id, locale_id, value from glossary_translations where term_id in (select id from glossary_terms where not coalesce(rule_text is not null and sort_order < 40, false))""")

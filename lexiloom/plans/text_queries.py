@@ -193,7 +193,7 @@ def script_routing(spark, d):
     return pairs(spark, d).groupBy("source_group", F.lower("target_lang").contains("kr").alias("kr"), T.has_korean(F.col("source_text")).alias("korean")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select pair_id, case when length(source_text) > 40 then left(source_text, 40) || '…' else source_text end as preview from rag_pairs where pair_id <= 500""")
+@query("""select pair_id, case when length(source_text) > 40 then left(source_text, 40) || '…' else source_text end as preview from rag_pairs""")
 def previews(spark, d):
-    """A preview of the first rows (the limit is the report's)."""
-    return pairs(spark, d).where("pair_id <= 500").select("pair_id", T.preview(F.col("source_text"), 40).alias("preview"))
+    """A preview of each text."""
+    return pairs(spark, d).select("pair_id", T.preview(F.col("source_text"), 40).alias("preview"))
