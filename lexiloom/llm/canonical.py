@@ -32,6 +32,8 @@ _CUT = "\x01"
 USUAL = "\\A[\\x00-\\x7F\\u00C0-\\u0131\\u0134-\\u01C3\\u0386-\\u03CE\\u0400-\\u045F\\u1E00-\\u1EFF\\uAC00-\\uD7A3\\u3041-\\u3096\\u30A1-\\u30FE\\u4E00-\\u9FFF\\u3001-\\u3011\\uFF01-\\uFF0F\\uFF1A-\\uFF1F\\u2010-\\u2027]*\\z"
 #: A Latin letter beside a letter of another alphabet, marks and hidden characters between them included.
 MIXED = f"\\p{{IsLatin}}[\\p{{M}}{INVISIBLE}]*{ALPHABETS}|{ALPHABETS}[\\p{{M}}{INVISIBLE}]*\\p{{IsLatin}}"
+#: Letters of the other alphabets that no Latin letter looks like: a text that has one holds real words of them.
+OWN = f"[\\p{{IsCyrillic}}\\p{{IsGreek}}&&[^{LOOKALIKE_FROM}]]"
 # Latin letters as their Cyrillic twins, from the same table
 _BACK = {b: a for a, b in reversed(list(zip(LOOKALIKE_FROM, LOOKALIKE_TO))) if "Ѐ" <= a <= "ӿ"}
 _LATIN, _CYRILLIC = "".join(_BACK), "".join(_BACK.values())
@@ -74,8 +76,8 @@ def _candidates(long: DataFrame) -> DataFrame:
     """``key, field, token, word, mixed``: tokens that may hide look-alikes, with what they may stand for."""
     latin = F.length(F.regexp_replace("text", "[^\\p{IsLatin}]", ""))
     other = F.length(F.regexp_replace("text", f"[^{ALPHABETS[1:-1]}]", ""))
-    foreign = long.where(F.col("text").rlike(ALPHABETS)).select("key", "field", "text", (latin >= other).alias("_latin_text"))
-    # a text in another alphabet with foreign words beside its own is no suspect unless a token mixes them
+    foreign = long.where(F.col("text").rlike(ALPHABETS)).select("key", "field", "text", ((latin >= other) & ~F.col("text").rlike(OWN)).alias("_latin_text"))
+    # a text with real words of another alphabet is no suspect unless a token mixes alphabets
     foreign = foreign.where(F.col("_latin_text") | F.col("text").rlike(MIXED)).select("key", "field", "_latin_text", form_repaired(F.col("text")).alias("_r"))
     tokens = foreign.select(
         "key", "field", "_latin_text", F.explode(F.array_distinct(F.regexp_extract_all("_r", F.lit(TOKEN), 0))).alias("token")
