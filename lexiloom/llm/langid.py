@@ -51,8 +51,7 @@ def segments(text: str) -> list[list[str]]:
     """Words of each segment; segments without a word are left out."""
     if not text.isascii():
         text = unicodedata.normalize("NFKC", HIDDEN.sub("", text).replace("，", "\u0001").replace("、", "\u0002")).replace("\u0001", "，").replace("\u0002", "、")
-    found = ([_token(t) for t in TOKEN.findall(s)] for s in SEGMENT.split(text) if s)
-    return [s for s in found if s]
+    return [found for s in SEGMENT.split(text) if s and (found := TOKEN.findall(s))]
 
 
 def _trigrams(w: str) -> list[str]:
@@ -77,11 +76,12 @@ class Model:
         for t in tokens:
             i = extra.get(t)
             if i is None:
-                i = self.ids.get(t.lower())
+                own = _token(t)
+                i = self.ids.get(own.lower())
                 if i is None:
                     i = len(self.ids) + len(self.rows)
                     # an unseen word with a capital is a name more often than not and says nothing
-                    self.rows.append(np.zeros(len(self.langs), np.float32) if t[0].isupper() else self.unseen(t))
+                    self.rows.append(np.zeros(len(self.langs), np.float32) if own[0].isupper() else self.unseen(own))
                 extra[t] = i
             out.append(i)
         return out
@@ -115,7 +115,7 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(langs), np.float32))
         for segs, k in docs:
             for s in segs:
-                for w in {t.lower() for t in s}:
+                for w in {_token(t).lower() for t in s}:
                     words[w][k] += 1
         names = [w for w, n in words.items() if n.sum() >= 2]
         counts = np.array([words[w] for w in names], np.float32).reshape(-1, len(langs))
@@ -151,24 +151,32 @@ def assign(model: Model, texts: list[str], prior: np.ndarray) -> list[list[tuple
     """For each text its languages with confidence and the numbers of their segments, the main one first."""
     docs = [segments(t) for t in texts]
     scores, owner = model.score(docs)
+    post = prior.astype(np.float32)
+    if len(scores):
+        first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+        post[owner[first]] += np.add.reduceat(scores, first, axis=0)
+    main = post.argmax(axis=1)
+    sure = np.exp(post - post.max(axis=1, keepdims=True))
+    sure = sure[np.arange(len(docs)), main] / sure.sum(axis=1)
+    best = scores.argmax(axis=1) if len(scores) else np.zeros(0, np.int64)
+    at = np.arange(len(scores))
+    apart = (best != main[owner]) & (scores[at, best] - scores[at, main[owner]] > MIX_ODDS)
+    mixed: dict[int, list[int]] = defaultdict(list)
+    for k in np.flatnonzero(np.isin(owner, owner[apart])).tolist():
+        mixed[int(owner[k])].append(k)
     out: list[list[tuple[str, float, list[int]]]] = []
-    at = 0
-    for i, d in enumerate(docs):
-        own = scores[at : at + len(d)]
-        at += len(d)
-        post = prior[i] + (own.sum(axis=0) if len(d) else 0.0)
-        main = int(post.argmax())
-        p = np.exp(post - post.max())
-        found = {main: [1.0 * float(p[main] / p.sum()), []]}
-        for k, x in enumerate(own):
-            best = int(x.argmax())
-            lang = best if best != main and x[best] - x[main] > MIX_ODDS else main
-            q = np.exp(x - x.max())
-            entry = found.setdefault(lang, [float(q[lang] / q.sum()), []])
-            entry[1].append(k)
-        if len(found) > 1 and not found[main][1]:
-            del found[main]
-        out.append([(model.langs[k], conf, segs) for k, (conf, segs) in sorted(found.items(), key=lambda kv: (kv[0] != main, kv[0]))])
+    for i, (d, k, conf) in enumerate(zip(docs, main.tolist(), sure.tolist())):
+        if i not in mixed:
+            out.append([(model.langs[k], conf, list(range(len(d))))])
+            continue
+        found: dict[int, list] = {k: [conf, []]}
+        for n, seg in enumerate(mixed[i]):
+            lang = int(best[seg]) if apart[seg] else k
+            q = np.exp(scores[seg] - scores[seg].max())
+            found.setdefault(lang, [float(q[lang] / q.sum()), []])[1].append(n)
+        if not found[k][1]:
+            del found[k]
+        out.append([(model.langs[x], c, segs) for x, (c, segs) in sorted(found.items(), key=lambda kv: (kv[0] != k, kv[0]))])
     return out
 
 
@@ -197,11 +205,8 @@ def train(rows: DataFrame, text: str, label: str, key: str, most: int = TRAIN_RO
     return fit([(r["t"], r["l"]) for r in held.orderBy("h").limit(most).collect()])
 
 
-def languages(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str) -> DataFrame:
-    """``<key>, declared, languages array<struct<iso, confidence, segments>>`` for every text that holds any.
-
-    ``declared`` and ``suffix`` are columns with languages or null, ``host`` and ``group`` name where a row comes from.
-    """
+def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str, make, schema: str) -> DataFrame:
+    """Texts with their evidence, assigned batch by batch; ``make(ids, declared, found)`` shapes the rows."""
     langs = model.langs
     labels = rows.select(F.col(host).alias("_host"), F.col(group).alias("_group"), F.coalesce(F.col(declared), F.col(suffix)).alias("_label"))
     priors, whole = host_priors(labels, langs, "_host", "_group", "_label")
@@ -213,16 +218,40 @@ def languages(rows: DataFrame, model: Model, key: str, text: str, declared: str,
         own, table = shared.value
         place = {x: i for i, x in enumerate(own.langs)}
         for b in batches:
-            prior = np.stack([table if p is None else np.asarray(p, np.float32) for p in b["_prior"]]) if len(b) else np.zeros((0, len(place)), np.float32)
+            if not len(b):
+                continue
+            prior = np.stack([table if p is None else np.asarray(p, np.float32) for p in b["_prior"]])
             for col, odds in (("declared", LABEL_ODDS), ("suffix", SUFFIX_ODDS)):
                 at = np.array([place.get(x, -1) for x in b[col]], np.int64)
                 hit = np.flatnonzero(at >= 0)
                 prior[hit, at[hit]] += odds
-            found = assign(own, b["t"].tolist(), prior)
-            yield pd.DataFrame({"id": b["id"], "declared": b["declared"], "languages": [[{"iso": l, "confidence": c, "segments": s} for l, c, s in f] for f in found]})
+            yield make(b["id"].tolist(), b["declared"].tolist(), assign(own, b["t"].tolist(), prior))
 
     kind = dict(rows.select(key).dtypes)[key]
-    return joined.mapInPandas(run, f"id {kind}, declared string, languages array<struct<iso string, confidence double, segments array<int>>>").withColumnRenamed("id", key)
+    return joined.mapInPandas(run, schema.format(kind)).withColumnRenamed("id", key)
+
+
+def languages(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str) -> DataFrame:
+    """``<key>, declared, languages array<struct<iso, confidence, segments>>`` for every text that holds any.
+
+    ``declared`` and ``suffix`` are columns with languages or null, ``host`` and ``group`` name where a row comes from.
+    """
+
+    def make(ids, labels, found):
+        return pd.DataFrame({"id": ids, "declared": labels, "languages": [[{"iso": l, "confidence": c, "segments": s} for l, c, s in f] for f in found]})
+
+    schema = "id {}, declared string, languages array<struct<iso string, confidence double, segments array<int>>>"
+    return _assigned(rows, model, key, text, declared, suffix, host, group, make, schema)
+
+
+def mislabelled_rows(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str) -> DataFrame:
+    """What ``mislabelled`` makes of ``languages``, without the other texts' results on the way."""
+
+    def make(ids, labels, found):
+        out = [(i, x[0]) for i, d, f in zip(ids, labels, found) if d is None or len(f) > 1 or f[0][0] != d for x in f]
+        return pd.DataFrame(out, columns=["id", "iso"])
+
+    return _assigned(rows, model, key, text, declared, suffix, host, group, make, "id {}, iso string")
 
 
 def mislabelled(found: DataFrame, key: str) -> DataFrame:

@@ -81,7 +81,7 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return _survivors(spark, d, 30 * 86400.0)
 
 
-def _languages(spark: SparkSession, d: str) -> DataFrame:
+def _languages(spark: SparkSession, d: str, operator) -> DataFrame:
     m = _matcher(spark, d)
     rows = load(spark, d, "rag_pairs").select(
         "pair_id", "target_text", "original_file",
@@ -94,15 +94,15 @@ def _languages(spark: SparkSession, d: str) -> DataFrame:
     # source texts are labelled by their group; they teach languages that are rarely a target
     sources = pairs.select("pair_id", F.col("source_text").alias("text"), F.when(F.col("source_group") == "kr", "ko").when(F.col("source_group") == "us", "en").alias("iso"))
     model = langid.train(targets.unionByName(sources.where("pmod(xxhash64(text), 16) = 0")), "text", "iso", "pair_id")
-    return langid.languages(rows, model, "pair_id", "target_text", "declared", "suffix", "original_file", "story")
+    return operator(rows, model, "pair_id", "target_text", "declared", "suffix", "original_file", "story")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return langid.mislabelled(_languages(spark, d), "pair_id")
+    return _languages(spark, d, langid.mislabelled_rows)
 
 
 def p7_languages(spark: SparkSession, d: str) -> DataFrame:
-    return _languages(spark, d)
+    return _languages(spark, d, langid.languages)
 
 
 def _limits(spark: SparkSession, d: str) -> list[tuple[int, int]]:
@@ -159,5 +159,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_TEN_WORDS = """
+with d as (select doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from documents where text is not null),
+dw as (select distinct doc_id, array_to_string(w[i:i + 9], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 8)) as i from d where len(w) >= 10)),
+e as (select item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') as w from eval_items where text is not null),
+ew as (select distinct item_id, array_to_string(w[i:i + 9], ' ') as k from (select item_id, w, unnest(range(1, len(w) - 8)) as i from e where len(w) >= 10))
+select distinct doc_id, item_id from dw join ew using (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where SQL can say it on whole tables; the others are tested against brute force in ``tests/llm``."""
+    return {"p9_found": _TEN_WORDS}
