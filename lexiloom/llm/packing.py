@@ -25,7 +25,7 @@ from ..session import cut
 
 SHARD = 1500
 #: A window is kept, while others exceed the capacity, from this share of it on.
-FULL = 0.9
+FULL = 0.8
 
 
 def least_windows(sizes: np.ndarray, capacity: int) -> int:

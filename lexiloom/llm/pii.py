@@ -21,9 +21,11 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -82,9 +84,8 @@ _BEFORE = re.compile(r"([^\W\d_]+\.?|\w+)?(\W{0,3})$")
 _AFTER = re.compile(r"^(\W{0,3})([^\W\d_]+)?")
 
 
+@lru_cache(maxsize=50_000)
 def _fold(s: str) -> str:
-    import unicodedata
-
     return "".join(c for c in unicodedata.normalize("NFD", s.lower()) if c.isalnum() and not unicodedata.combining(c))
 
 
@@ -94,6 +95,7 @@ def _around(text: str, start: int, end: int) -> tuple[str, str, str, str]:
     return (b[1] or "").lower(), b[2], a[1], (a[2] or "").lower()
 
 
+@lru_cache(maxsize=100_000)
 def _h(*parts: str) -> int:
     return zlib.crc32("\x1f".join(parts).encode()) & ((1 << HASH_BITS) - 1)
 
@@ -111,10 +113,11 @@ class Candidate:
 GROUPS = {"email": [1], "number": [2, 3], "address": [4], "name": [5], "name_ko": [5]}
 
 
-def token_features(role: str, w: str) -> list[int]:
+@lru_cache(maxsize=100_000)
+def token_features(role: str, w: str) -> tuple[int, ...]:
     shape = "U" if w.isupper() else "C"
     low = w.lower()
-    return [_h(role, "w", low), _h(role, "s3", low[-3:]), _h(role, "s4", low[-4:]), _h(role, "s5", low[-5:]), _h(role, "sh", shape), _h(role, "len", str(min(len(w), 14)))]
+    return _h(role, "w", low), _h(role, "s3", low[-3:]), _h(role, "s4", low[-4:]), _h(role, "s5", low[-5:]), _h(role, "sh", shape), _h(role, "len", str(min(len(w), 14)))
 
 
 def name_candidates(text: str, model: Model | None) -> Iterator[Candidate]:
@@ -138,7 +141,7 @@ def name_candidates(text: str, model: Model | None) -> Iterator[Candidate]:
         bw, bp, ap, aw = _around(text, start, end)
         form = ("L" if sep == ", " else "F") + ("i" if initial or after_initial else "")
         mixed = ("U" if given.isupper() else "C") + ("U" if family.isupper() else "C")
-        features = token_features("g", given) + token_features("f", family) + [_h("form", form), _h("mix", mixed), _h("bw", bw), _h("bp", bp[-2:]), _h("ap", ap[:2]), _h("aw", aw), _h("bias")]
+        features = [*token_features("g", given), *token_features("f", family), _h("form", form), _h("mix", mixed), _h("bw", bw), _h("bp", bp[-2:]), _h("ap", ap[:2]), _h("aw", aw), _h("bias")]
         yield Candidate(start, end, "name", features, (_fold(family), _fold(given)), None, (given, family, bw, aw))
 
 
@@ -281,7 +284,7 @@ class Model:
         if known is None:
             if len(self.memo) > 400_000:
                 self.memo.clear()
-            known = self.memo[(role, w)] = float(self.w[5, token_features(role, w)].sum())
+            known = self.memo[(role, w)] = float(self.w[5, list(token_features(role, w))].sum())
         return known
 
     def unary(self, c: Candidate) -> np.ndarray:
