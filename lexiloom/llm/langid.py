@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .forms import LOOKALIKE_FROM, LOOKALIKE_TO, blank
+from .sample import least_hashed
 
 TRAIN_ROWS = 12_000
 TOKEN = re.compile(r"[가-힣]+|[ぁ-ゖァ-ヺー]+|[㐀-鿿]|[、，]|[^\W\d_가-힣ぁ-ゖァ-ヺー㐀-鿿]+")
@@ -201,8 +202,8 @@ def host_priors(rows: DataFrame, langs: list[str], host: str, group: str, label:
 
 def train(rows: DataFrame, text: str, label: str, key: str, most: int = TRAIN_ROWS) -> Model:
     """Fit on the ``most`` labelled rows whose key has the least hash. A language needs rows here to be told."""
-    held = rows.where(F.col(label).isNotNull() & ~blank(F.col(text))).select(F.xxhash64(F.col(key)).alias("h"), F.col(text).alias("t"), F.col(label).alias("l"))
-    return fit([(r["t"], r["l"]) for r in held.orderBy("h").limit(most).collect()])
+    held = rows.where(F.col(label).isNotNull() & ~blank(F.col(text))).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
+    return fit([(r["t"], r["l"]) for r in least_hashed(held, "k", most)])
 
 
 def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str, make, schema: str) -> DataFrame:

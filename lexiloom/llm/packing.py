@@ -110,7 +110,8 @@ def pack(sizes: np.ndarray, capacity: int, full: float = FULL) -> np.ndarray:
 def _pack_shard(pdf: pd.DataFrame) -> pd.DataFrame:
     pdf = pdf.sort_values(["tokens", "id", "part"], ascending=[False, True, True])
     at = pack(pdf["tokens"].to_numpy(np.int64), int(pdf["capacity"].iloc[0]))
-    return pd.DataFrame({"limit_id": pdf["limit_id"], "container": pdf["shard"] * (1 << 20) + at, "id": pdf["id"], "part": pdf["part"], "tokens": pdf["tokens"]})
+    names = [f"s{pdf['shard'].iloc[0]}:{k}" for k in range(int(at.max()) + 1)]
+    return pd.DataFrame({"limit_id": pdf["limit_id"], "container": [names[k] for k in at.tolist()], "id": pdf["id"], "part": pdf["part"], "tokens": pdf["tokens"]})
 
 
 def containers(documents: DataFrame, limits: list[tuple[int, int]], count, doc_id: str = "doc_id", text: str = "text", shard: int = SHARD) -> DataFrame:
@@ -126,10 +127,10 @@ def containers(documents: DataFrame, limits: list[tuple[int, int]], count, doc_i
     each = sized.select("id", "n", kinds.alias("k")).select("id", "n", "k.*")
     # a rest of nothing is no item; full parts are containers of their own
     full = each.withColumn("parts", F.expr("n div capacity")).where("parts > 0").select("limit_id", "id", "capacity", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-    # containers of full parts are numbered below zero, by text and part
-    whole = full.select("limit_id", (-1 - F.xxhash64("id", "part").bitwiseAND(F.lit((1 << 62) - 1))).alias("container"), "id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"))
+    # a full part is a container of its own, named by text and part
+    whole = full.select("limit_id", F.concat(F.lit("f"), F.col("id"), F.lit(":"), F.col("part")).alias("container"), "id", F.col("part").cast("int").alias("part"), (F.col("part") * F.col("capacity")).alias("start"), F.col("capacity").alias("tokens"))
     rest = each.withColumn("tokens", F.expr("n % capacity")).where("tokens > 0").select("limit_id", "capacity", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), "id", F.expr("cast(n div capacity as int)").alias("part"), "tokens")
-    packed = rest.groupBy("limit_id", "shard").applyInPandas(_pack_shard, "limit_id int, container long, id long, part int, tokens long")
+    packed = rest.groupBy("limit_id", "shard").applyInPandas(_pack_shard, "limit_id int, container string, id long, part int, tokens long")
     caps = F.create_map(*[x for i, c in limits for x in (F.lit(i).cast("int"), F.lit(c).cast("long"))])
     return whole.unionByName(packed.select("limit_id", "container", "id", "part", (F.col("part") * caps[F.col("limit_id")]).alias("start"), "tokens"))
 

@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .sample import least_hashed
+
 LABELS = ["O", "email", "phone", "id_number", "address", "name"]
 K = len(LABELS)
 TRAIN_DOCS = 3_000
@@ -453,8 +455,8 @@ def masked(text: str, found: list[tuple[int, int, str, float]]) -> str:
 
 def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> Model:
     """Fit on the ``most`` documents whose id has the least hash."""
-    rows = documents.where(F.col(text).isNotNull()).select(F.xxhash64(F.col(doc_id)).alias("h"), F.col(text).alias("t")).orderBy("h").limit(most).collect()
-    return fit([r["t"] for r in rows])
+    held = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
+    return fit([r["t"] for r in least_hashed(held, "k", most)])
 
 
 def redact(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
