@@ -200,10 +200,10 @@ def host_priors(rows: DataFrame, langs: list[str], host: str, group: str, label:
     return out, [math.log(x) for x in whole]
 
 
-def train(rows: DataFrame, text: str, label: str, key: str, most: int = TRAIN_ROWS) -> Model:
-    """Fit on the ``most`` labelled rows whose key has the least hash. A language needs rows here to be told."""
+def train(rows: DataFrame, text: str, label: str, key: str, total: int, most: int = TRAIN_ROWS) -> Model:
+    """Fit on the ``most`` labelled rows of about ``total`` whose key has the least hash. A language needs rows here to be told."""
     held = rows.where(F.col(label).isNotNull() & ~blank(F.col(text))).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
-    return fit([(r["t"], r["l"]) for r in least_hashed(held, "k", most)])
+    return fit([(r["t"], r["l"]) for r in least_hashed(held, "k", most, total)])
 
 
 def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str, make, schema: str) -> DataFrame:

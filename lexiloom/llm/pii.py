@@ -456,7 +456,7 @@ def masked(text: str, found: list[tuple[int, int, str, float]]) -> str:
 def train(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = TRAIN_DOCS) -> Model:
     """Fit on the ``most`` documents whose id has the least hash."""
     held = documents.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("k"), F.col(text).alias("t"))
-    return fit([r["t"] for r in least_hashed(held, "k", most)])
+    return fit([r["t"] for r in least_hashed(held, "k", most, documents.count())])
 
 
 def redact(documents: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

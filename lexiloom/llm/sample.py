@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Row
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 _RANGE = 1 << 40
 
 
-def least_hashed(rows: DataFrame, key: str, most: int) -> list[Row]:
-    """The ``most`` rows whose key has the least hash.
+def least_hashed(rows: DataFrame, key: str, most: int, total: int) -> list[Row]:
+    """At most ``most`` rows: those whose key has the least hash.
 
-    Rows are counted first and a threshold set a little above the share that is needed, so that tasks send
-    only about as many rows as are wanted in all, however many tasks there are.
+    ``total`` is about the number of rows. It sets a threshold a quarter above the share that is needed, so
+    that tasks send only about as many rows as are wanted in all, however many tasks there are.
     """
     hashed = rows.withColumn("_h", F.pmod(F.xxhash64(F.col(key)), F.lit(_RANGE)))
-    total = rows.count()
-    if total > most:
-        share = (most + 6 * most**0.5 + 20) / total
-        hashed = hashed.where(F.col("_h") < int(min(1.0, share) * _RANGE))
+    share = 1.25 * (most + 20) / max(total, 1)
+    if share < 1:
+        hashed = hashed.where(F.col("_h") < int(share * _RANGE))
     return hashed.orderBy("_h", *rows.columns).limit(most).collect()
