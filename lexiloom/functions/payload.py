@@ -37,9 +37,13 @@ def field(text: Column, labels: list[str]) -> Column:
     return F.trim(F.regexp_extract(text, "(?m)^(?:" + "|".join(labels) + "):[ \\t]*(.*)$", 1))
 
 
+def words(c: Column) -> Column:
+    """The runs between white space, that of Unicode included."""
+    return F.filter(F.split(F.coalesce(c, F.lit("")), "(?U)[\\s\\uFEFF]+"), lambda w: w != "")
+
+
 def word_changes(original: Column, suggested: Column) -> Column:
     """Each suggested word as ``same``, ``case`` or ``new`` beside the words of the original."""
-    words = lambda c: F.filter(F.split(F.coalesce(c, F.lit("")), "\\s+"), lambda w: w != "")
     own = words(original)
     low = F.transform(own, F.lower)
     return F.transform(words(suggested), lambda w: F.struct(w.alias("word"), F.when(F.array_contains(own, w), "same").when(F.array_contains(low, F.lower(w)), "case").otherwise("new").alias("change")))

@@ -91,7 +91,8 @@ def navigation_paths(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.split(F.trim(text), "(?<=[.!?])\\s+"), lambda x: x != "")
+    """The pieces after ``.!?`` and white space, that of Unicode included."""
+    return F.filter(F.split(F.regexp_replace(text, "(?U)\\A\\s+|\\s+\\z", ""), "(?U)(?<=[.!?])\\s+"), lambda x: x != "")
 
 
 def extra_capitals(text: Column) -> Column:

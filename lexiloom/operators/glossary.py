@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,6 +61,17 @@ def long_to_wide(terms: DataFrame, locales: DataFrame, translations: DataFrame,
     return out.na.fill("", names)
 
 
+def all_to_wide(terms: DataFrame, locales: DataFrame, translations: DataFrame) -> DataFrame:
+    """The wide table of every locale in column order. A locale without a name, or with one that another has too (letter case aside), has its id in the column's name."""
+    listed = locales.select("id", F.trim(F.regexp_replace(F.coalesce("header_display", F.lit("")), "(?U)\\s+", " ")).alias("n")).orderBy("column_order", "id").collect()
+    own = {"term_id", "source_key", "rule_text", "sort_order"}
+    held = Counter(r["n"].lower() for r in listed)
+    names = [r["n"] if r["n"] and held[r["n"].lower()] == 1 and r["n"].lower() not in own else f"{r['n']}#{r['id']}" for r in listed]
+    ids = [str(r["id"]) for r in listed]
+    wide = long_to_wide(terms, locales.select("id", F.col("id").cast("string").alias("header_display")), translations, ids)
+    return wide.toDF("term_id", "source_key", "rule_text", "sort_order", *names)
+
+
 def with_ids(existing: DataFrame, new: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """New rows with an ``id``: the existing one of their natural key, or the next free; ``created`` tells which."""
     known = new.join(existing.select("id", *key), key, "left")

@@ -75,6 +75,12 @@ def language_codes(spark, d):
     return pairs(spark, d).where(F.col("target_lang").isNotNull() & ~head.isin(others)).select("pair_id", T.language_code(F.col("target_lang")).alias("code"))
 
 
+@query()
+def language_codes_all(spark, d):
+    """F3, over all languages (the SQL lists two of the names)."""
+    return pairs(spark, d).where("target_lang is not null").select("pair_id", T.language_code(F.col("target_lang")).alias("code"))
+
+
 @query("""
 with v as (select term_id, locale_id, trim(value) as w, trim(regexp_replace(trim(value), '\\([^)]*\\)', '', 'g')) as b from glossary_translations where value is not null),
 p as (select term_id, locale_id, unnest(list_concat([w, b], case when len(string_split_regex(b, '[,/]')) > 1 then list_transform(string_split_regex(b, '[,/]'), lambda x: trim(x)) else [] end)) as term from v)

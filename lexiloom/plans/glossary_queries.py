@@ -134,6 +134,24 @@ def glossary_unpivot(spark, d):
     return wide.unpivot("term_id", ["a", "b"], "locale", "value").where("value is not null")
 
 
+@query()
+def glossary_pivot_all(spark, d):
+    """The wide table of all locales."""
+    terms, locales, x = (load(spark, d, t) for t in ("glossary_terms", "glossary_locales", "glossary_translations"))
+    return G.all_to_wide(terms, locales, x).drop("rule_text", "sort_order")
+
+
+@query()
+def glossary_unpivot_all(spark, d):
+    """The columns of all locales to long rows."""
+    terms, x = load(spark, d, "glossary_terms"), load(spark, d, "glossary_translations")
+    ids = sorted(r[0] for r in x.select("locale_id").where("locale_id is not null").distinct().collect())
+    if not ids:
+        return x.select("term_id", "locale_id", "value").limit(0)
+    wide = terms.select(F.col("id").alias("term_id")).join(x.groupBy("term_id").pivot("locale_id", ids).agg(F.max("value")), "term_id", "left")
+    return wide.unpivot("term_id", [str(i) for i in ids], "locale_id", "value").where("value is not null").withColumn("locale_id", F.col("locale_id").cast("int"))
+
+
 @query("""select id, source_key from glossary_terms where contains(lower(source_key), 'a') or contains(lower(rule_text), 'note')""")
 def glossary_search(spark, d):
     """P8."""

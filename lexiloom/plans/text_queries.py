@@ -151,12 +151,21 @@ from rag_pairs where regexp_full_match(source_text, '[ -~]*') and regexp_full_ma
 def word_diff(spark, d):
     """words of the target that stand in the source as they are."""
     ascii_only = "source_text is not null and target_text is not null and not source_text rlike '[^ -~]' and not target_text rlike '[^ -~]'"
-    rows = pairs(spark, d).where(ascii_only)
+    return _word_figures(pairs(spark, d).where(ascii_only))
+
+
+def _word_figures(rows):
     changed = P.word_changes(F.col("source_text"), F.col("target_text"))
-    n = F.size(F.filter(F.split(F.trim("source_text"), "\\s+"), lambda w: w != "")).cast("long")
+    n = F.size(P.words(F.col("source_text"))).cast("long")
     return rows.select("pair_id", n.alias("words"), F.size(F.filter(changed, lambda x: x["change"] == "same")).cast("long").alias("same"))
 
 
+@query()
+def word_diff_all(spark, d):
+    """F23, over all rows with both texts (the SQL side has no Unicode white space)."""
+    return _word_figures(pairs(spark, d).where("source_text is not null and target_text is not null"))
+
+
 @query("""select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as html from documents where contains(text, '<') or contains(text, '&')""")
 def html_escaped(spark, d):
     """F29."""
@@ -175,7 +184,16 @@ def tone_scan(spark, d):
 @query("""select pair_id, cast(length(regexp_replace(target_text, '[^A-Z]', '', 'g')) as bigint) as capitals, cast(len(list_filter(string_split_regex(trim(target_text), '[.!?][ ]+'), lambda x: x <> '')) as bigint) as sentences from rag_pairs where regexp_full_match(target_text, '[ -~]*') and trim(target_text) <> ''""")
 def sentence_figures(spark, d):
     """sentences and capitals of a text."""
-    rows = pairs(spark, d).where("target_text is not null and not target_text rlike '[^ -~]' and trim(target_text) <> ''")
+    return _sentence_figures(pairs(spark, d).where("target_text is not null and not target_text rlike '[^ -~]' and trim(target_text) <> ''"))
+
+
+@query()
+def sentence_figures_all(spark, d):
+    """F10, over all texts that are not blank (the SQL side has no Unicode white space)."""
+    return _sentence_figures(pairs(spark, d).where(F.col("target_text").rlike("(?U)\\S")))
+
+
+def _sentence_figures(rows):
     return rows.select("pair_id", F.regexp_count("target_text", F.lit("\\p{Lu}")).cast("long").alias("capitals"), F.size(X.sentences(F.col("target_text"))).cast("long").alias("sentences"))
 
 

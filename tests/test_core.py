@@ -1,10 +1,13 @@
 import json
 import os
+import re
+import unicodedata
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lexiloom import registry
 from lexiloom.functions import payload as P
 from lexiloom.functions import terms as X
 from lexiloom.functions import text as T
@@ -87,6 +90,34 @@ def test_payloads(spark):
     assert [x["change"] for x in df.select(P.word_changes(F.col("a"), F.col("b"))).first()[0]] == ["case", "same", "new"]
 
 
+def tables(spark, tmp_path, **rows):
+    for name, (data, schema) in rows.items():
+        spark.createDataFrame(data, schema).write.parquet(str(tmp_path / f"{name}.parquet"))
+    return str(tmp_path)
+
+
+def test_figures_of_all_rows_equal_brute_force(spark, tmp_path):
+    texts = [("조명을 켜세요.", "Öffne\u00a0die App. ÉTÉ  là!\u3000Ж ß"), ("Tap\u00a0„Öffnen“\tnow", "now „Öffnen“\nTap x"), ("plain ascii", "Plain ascii. Two"), ("a", " \u3000\n"), ("a", ""), (None, "Ä"), ("b", None), ("名前\u3000名前", "名前 新\u2028。")]
+    langs = ["German", "vietnamese (x)", "DE(독일)", "Japanese", "Klingon tongue", None, "taiwanese", "jpn"]
+    d = tables(spark, tmp_path, rag_pairs=([(i, s, t, n) for i, ((s, t), n) in enumerate(zip(texts, langs))], "pair_id long, source_text string, target_text string, target_lang string"))
+    run = lambda name: {tuple(r) for r in registry.queries()[name](spark, d).collect()}
+    assert run("word_diff_all") == {(i, len(s.split()), sum(w in s.split() for w in t.split())) for i, (s, t) in enumerate(texts) if s is not None and t is not None}
+    sentences = lambda t: [x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]
+    assert run("sentence_figures_all") == {(i, sum(unicodedata.category(c) == "Lu" for c in t), len(sentences(t))) for i, (_, t) in enumerate(texts) if t and t.strip()}
+    assert run("language_codes_all") == {(0, "DE"), (1, "VN"), (2, "DE"), (3, "JA"), (4, None), (6, "TW"), (7, "JPN")}
+
+
+def test_all_locales_wide_and_long(spark, tmp_path):
+    locales = [(1, "한국어", 0), (2, "French", 1), (3, "french", 2), (4, None, 3), (5, "독어_독일", 4), (6, "leer", 5)]
+    values = [(7, 1, "가"), (7, 2, "a"), (7, 3, "b"), (7, 4, "c"), (8, 5, "d"), (8, 1, None)]
+    d = tables(spark, tmp_path, glossary_terms=([(7, "K", None, 0), (8, "L", None, 1)], "id int, source_key string, rule_text string, sort_order int"),
+               glossary_locales=(locales, "id int, header_display string, column_order int"), glossary_translations=(values, "term_id int, locale_id int, value string"))
+    wide = registry.queries()["glossary_pivot_all"](spark, d)
+    assert wide.columns == ["term_id", "source_key", "한국어", "French#2", "french#3", "#4", "독어_독일", "leer"]
+    assert {tuple(r) for r in wide.collect()} == {(7, "K", "가", "a", "b", "c", "", ""), (8, "L", "", "", "", "", "d", "")}
+    assert {tuple(r) for r in registry.queries()["glossary_unpivot_all"](spark, d).collect()} == {v for v in values if v[2]}
+
+
 def test_glossary_round_trip(spark, tmp_path):
     path = tmp_path / "g.csv"
     path.write_text("key,Rule,한국어,영어_미국,독어_독일\n,,ko_KR,en_US,de_DE\nLng,,Korean,English_US,German\nSmartHome,대괄호 제외,스마트홈,SmartHome,SmartHome\nAI,비활성화,AI,AI,KI,extra\n,x,y\n", encoding="utf-8-sig")
