@@ -88,6 +88,28 @@ def test_near_pairs_equal_brute_force(spark, hot, vocabulary):
     assert len(want) > 20 and got == want
 
 
+def without_a_common_sentence(n=60, seed=8):
+    """Texts and their twins with a word changed in each sentence."""
+    rng = random.Random(seed)
+    name = lambda: "".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3))
+    texts = []
+    for _ in range(n):
+        base = [[name() for _ in range(rng.randint(7, 9))] for _ in range(3)]
+        edited = [list(x) for x in base]
+        for x in edited:
+            x[rng.randrange(len(x))] = name()
+        texts += [". ".join(map(" ".join, x)) for x in (base, edited)]
+    return texts
+
+
+def test_near_pairs_that_share_no_sentence_are_all_found(spark):
+    texts = without_a_common_sentence()
+    nodes, pairs = near.near_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 0.4, 3)
+    shown = {r["node"]: " ".join(re.findall(r"[^\W_]+", r["shown"])) for r in nodes.collect()}
+    want = brute(texts, 0.4, 3)
+    assert len(want) > 40 and {tuple(sorted((shown[r["a"]], shown[r["b"]]))) for r in pairs.collect()} == want
+
+
 def test_near_pairs_of_empty_tables(spark):
     df = spark.createDataFrame([], "text string, id long, by string")
     assert near.near_pairs(df, "text")[1].count() == 0
