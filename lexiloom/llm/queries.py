@@ -57,6 +57,10 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("a").alias("pair_id_a"), F.col("b").alias("pair_id_b")).distinct()
 
 
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near.near_groups(_descriptions(spark, d), "pair_id", "code", "source_text", least=0.45, size=3)
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_values(load(spark, d, "rag_pairs"), load(spark, d, "glossary_locales"), load(spark, d, "sheet_langs"))
 
@@ -145,6 +149,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p3_found": p3_found,
         "p3_records": p3_records,
         "p4_found": p4_found,
+        "p4_groups": p4_groups,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_records": p6_records,
