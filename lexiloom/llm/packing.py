@@ -5,7 +5,9 @@ and a rest; every other text stays whole. The rests and whole texts are dealt by
 ``SHARD`` items, as many shards as the table needs, and each shard is packed on its own: partial partitions
 into k windows, one per item at first, are merged two by two, the two with the widest spread each time, the
 fullest windows of one with the emptiest of the other. Windows come out nearly equal; k starts at a lower
-bound and rises while a window exceeds the capacity.
+bound and rises while a window exceeds the capacity. The method alone would difference all items anew with one
+more window; here windows that hold and are nearly full are kept, and only the others are differenced anew
+(``full`` above 1 gives the method alone): less space is unused, in a tenth of the time (README).
 
 Defined cases: null and empty texts have no tokens and are not packed; equal sizes are taken in the order
 of their keys; a capacity below one token is refused; repeated texts are packed each.
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 SHARD = 1500
-#: A window is kept, while others exceed the capacity, from this share of it on.
+#: A window is kept, while others exceed the capacity, from this share of it on; above 1 none is.
 FULL = 0.8
+#: Kinds of containers in one run; the rows of every text are multiplied by them.
+MAX_KINDS = 1_000
 
 
 def least_windows(sizes: np.ndarray, capacity: int) -> int:
@@ -119,6 +123,8 @@ def containers(documents: DataFrame, limits: list[tuple[int, int]], count, doc_i
 
     ``limits``: identifier and capacity of each kind of container, a short list.
     """
+    if not limits:
+        return documents.sparkSession.createDataFrame([], "limit_id int, container string, id long, part int, start long, tokens long")
     if any(cap < 1 for _, cap in limits):
         raise ValueError("a capacity must be one token at least")
     sized = cut(documents.where(F.col(text).isNotNull()).select(F.col(doc_id).cast("long").alias("id"), count(F.col(text)).alias("n")).where("n > 0"))
@@ -135,9 +141,30 @@ def containers(documents: DataFrame, limits: list[tuple[int, int]], count, doc_i
     return whole.unionByName(packed.select("limit_id", "container", "id", "part", (F.col("part") * caps[F.col("limit_id")]).alias("start"), "tokens"))
 
 
+def kinds(limits: DataFrame, key: str = "limit_id", capacity: str = "max_tokens") -> list[tuple[int, int]]:
+    """The kinds of containers on the driver, after their number was checked."""
+    rows = limits.where(F.col(key).isNotNull() & F.col(capacity).isNotNull()).select(key, capacity).distinct().limit(MAX_KINDS + 1).collect()
+    if len(rows) > MAX_KINDS:
+        raise ValueError(f"more than {MAX_KINDS} kinds of containers: pack them in several runs")
+    return sorted((r[0], r[1]) for r in rows)
+
+
 def use_of_space(packed: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
     """``limit_id, capacity, containers, tokens, used``: the share of all space that holds tokens."""
+    if not limits:
+        return packed.sparkSession.createDataFrame([], "limit_id int, capacity long, containers long, tokens long, fullest long, used double")
     caps = F.create_map(*[x for i, c in limits for x in (F.lit(i).cast("int"), F.lit(c).cast("long"))])
     each = packed.groupBy("limit_id", "container").agg(F.sum("tokens").alias("t"), F.max("tokens").alias("m"))
     total = each.groupBy("limit_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("t").alias("tokens"), F.max("t").alias("fullest"))
     return total.select("limit_id", caps[F.col("limit_id")].alias("capacity"), "containers", "tokens", "fullest", (F.col("tokens") / (F.col("containers") * caps[F.col("limit_id")])).alias("used"))
+
+
+def invariants(packed: DataFrame, limits: list[tuple[int, int]]) -> DataFrame:
+    """``limit_id, texts, overfull, broken, split_small``: texts placed, containers above the limit, texts whose parts don't join up, and texts split though they fit."""
+    caps = F.create_map(*[x for i, c in limits for x in (F.lit(i).cast("int"), F.lit(c).cast("long"))]) if limits else F.lit(None)
+    load = packed.groupBy("limit_id", "container").agg(F.sum("tokens").alias("t")).groupBy("limit_id").agg(F.count_if(F.col("t") > caps[F.col("limit_id")]).alias("overfull"))
+    texts = packed.groupBy("limit_id", "id").agg(F.sum("tokens").alias("t"), F.max(F.col("start") + F.col("tokens")).alias("end"), F.count(F.lit(1)).alias("n"), F.min("tokens").alias("least"))
+    told = texts.groupBy("limit_id").agg(
+        F.count(F.lit(1)).alias("texts"), F.count_if((F.col("t") != F.col("end")) | (F.col("least") < 1)).alias("broken"), F.count_if((F.col("n") > 1) & (F.col("t") <= caps[F.col("limit_id")])).alias("split_small")
+    )
+    return told.join(load, "limit_id").select("limit_id", "texts", "overfull", "broken", "split_small")

@@ -110,7 +110,7 @@ def p7_languages(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _limits(spark: SparkSession, d: str) -> list[tuple[int, int]]:
-    return [(r["limit_id"], r["max_tokens"]) for r in load(spark, d, "pack_limits").orderBy("limit_id").limit(100).collect()]
+    return packing.kinds(load(spark, d, "pack_limits"))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -121,6 +121,11 @@ def p8_use_of_space(spark: SparkSession, d: str) -> DataFrame:
     return packing.use_of_space(p8_containers(spark, d), _limits(spark, d))
 
 
+def p8_invariants(spark: SparkSession, d: str) -> DataFrame:
+    """What holds of every packing: all texts with a token placed whole, none above its container's limit."""
+    return packing.invariants(p8_containers(spark, d), _limits(spark, d))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     found = leakage.leaks(load(spark, d, "documents"), load(spark, d, "eval_items"))
     return found.where("exact").select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).distinct()
@@ -157,6 +162,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_languages": p7_languages,
         "p8_containers": p8_containers,
         "p8_use_of_space": p8_use_of_space,
+        "p8_invariants": p8_invariants,
         "p9_found": p9_found,
         "p9_leaks": p9_leaks,
         "p10_found": p10_found,

@@ -3,8 +3,8 @@
 ``Trie`` walks a word once: where the walk can't go on, the tokens settled so far were counted beforehand
 for that node, and the failure link leads to the node from which it goes on. The count is exact for the
 longest-match reading of the vocabulary and takes time linear in the bytes. ``BytePair`` counts exactly as
-the byte-pair tokenizer of the same file does. Both split a text by the vocabulary's own pattern first and
-remember the counts of words up to a bound, which changes no result.
+the byte-pair tokenizer of the same file does. Both split a text by the vocabulary's own pattern first; the
+trie's counts of words are remembered up to a bound, which changes no result.
 
 Defined cases: a null text has a null count, an empty one 0; texts are counted whole.
 """
@@ -112,19 +112,9 @@ class BytePair:
         import tiktoken
 
         self.encode = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.split = regex.compile(pattern).findall
-        self.memo: dict[str, int] = {}
 
     def count(self, text: str) -> int:
-        memo, n = self.memo, 0
-        for w in self.split(text):
-            k = memo.get(w)
-            if k is None:
-                if len(memo) > REMEMBERED:
-                    memo.clear()
-                k = memo[w] = len(self.encode(w))
-            n += k
-        return n
+        return len(self.encode(text))
 
 
 _BUILT: dict[str, tuple] = {}
