@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import load
@@ -65,24 +65,40 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return typed_values(load(spark, d, "rag_pairs"), load(spark, d, "glossary_locales"), load(spark, d, "sheet_langs"))
 
 
-def _survivors(spark: SparkSession, d: str, half_life_s: float) -> DataFrame:
-    named = _matcher(spark, d).named(F.col("target_lang"))
-    rows = load(spark, d, "rag_pairs").withColumn("_code", named)
+def _survivors(spark: SparkSession, d: str, language: Column, half_life_s: float, trusted: bool) -> DataFrame:
+    rows = load(spark, d, "rag_pairs").withColumn("_code", language)
+    if trusted:
+        rows = survivor.file_trust(rows, load(spark, d, "processed_files"))
     group = {"story": survivor.story_number(), "code": F.col("_code"), "cell_row": survivor.cell_row()}
-    return survivor.survivors(rows, group, P6_FIELDS, "pair_id", "created_at", half_life_s=half_life_s)
+    return survivor.survivors(rows, group, P6_FIELDS, "pair_id", "created_at", trust=F.col("_trust") if trusted else None, half_life_s=half_life_s)
 
 
 P6_FIELDS = ["target_text", "section_code", "tone_flag"]
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    out = _survivors(spark, d, 0.0)
+    named = _matcher(spark, d).named(F.col("target_lang"))
+    return _winners(_survivors(spark, d, named, survivor.STEEP, trusted=False))
+
+
+def _winners(out: DataFrame) -> DataFrame:
     cells = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_from").alias("pair_id")) for f in P6_FIELDS]))
     return out.select("group_id", cells.alias("c")).select("group_id", "c.field", "c.pair_id").where("pair_id is not null")
 
 
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    return _survivors(spark, d, 30 * 86400.0)
+    """Survivors by trust of the file and a decay of thirty days."""
+    return _survivors(spark, d, _matcher(spark, d).named(F.col("target_lang")), 30 * 86400.0, trusted=True)
+
+
+def p6_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """``p6_found`` by target_lang as typed, which SQL can follow."""
+    return _winners(_survivors(spark, d, F.col("target_lang"), survivor.STEEP, trusted=False))
+
+
+def p6_votes_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """``p6_records`` by target_lang as typed: trust and decay decide, which SQL can follow."""
+    return _winners(_survivors(spark, d, F.col("target_lang"), 30 * 86400.0, trusted=True))
 
 
 def _languages(spark: SparkSession, d: str, operator) -> DataFrame:
@@ -158,6 +174,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p6_records": p6_records,
+        "p6_by_label": p6_by_label,
+        "p6_votes_by_label": p6_votes_by_label,
         "p7_found": p7_found,
         "p7_languages": p7_languages,
         "p8_containers": p8_containers,

@@ -2,9 +2,10 @@
 
 Fields are unpivoted to long rows; each row votes for its normalised value with its source's trust times
 a decay by age, votes are summed per value, the value with the most votes wins and its latest row gives
-the field; then fields are pivoted back. Age is counted from the newest usable row of the group and field.
-``half_life_s=0`` is the limit of a steep decay: only the newest row has a vote, so the latest usable
-value wins.
+the field; then fields are pivoted back. Age is counted from the newest usable row of the group and field;
+other rows of the same time count as a microsecond older, as the key orders them. A half-life far below a
+microsecond (``STEEP``) makes the newest row outweigh any number of older ones, unless trust says otherwise
+by more than ``2 ** 64``; a long one lets many trusted older rows outvote one newer.
 
 Defined cases: a null time is the earliest; equal times are ordered by the key; equal votes go to the
 value with the later row; a field without usable rows stays null, also in its ``_from`` column; groups
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 
 from .forms import blank
 
+#: Half-life in seconds at which a microsecond of age halves a vote 64 times.
+STEEP = 1e-6 / 64
 _FIRST = "timestamp_ntz'0001-01-01 00:00:00'"
 
 
@@ -60,9 +63,12 @@ def survivors(
     )
     joined = base.join(groups.drop("copies"), g)
     long = joined.select("group_id", "_id", "_at", "_trust", cells.alias("_c")).select("group_id", "_id", "_at", "_trust", "_c.*")
+    if half_life_s <= 0:
+        raise ValueError("the half-life must be positive")
     newest = (F.col("_at") == F.col("top._at")) & (F.col("_id") == F.col("top._id"))
-    age = F.unix_micros(F.col("top._at").cast("timestamp")) / 1e6 - F.unix_micros(F.col("_at").cast("timestamp")) / 1e6
-    decay = F.when(newest, F.lit(1.0)).otherwise(F.lit(0.0)) if half_life_s <= 0 else F.pow(F.lit(2.0), -age / F.lit(float(half_life_s)))
+    age = F.unix_micros(F.col("top._at").cast("timestamp")) - F.unix_micros(F.col("_at").cast("timestamp"))
+    age = F.when(newest, 0).otherwise(F.greatest(age, F.lit(1)))  # in microseconds
+    decay = F.pow(F.lit(2.0), -age / F.lit(half_life_s * 1e6))
     voted = long.withColumn("_vote", F.col("_trust") * decay)
     by_value = voted.groupBy("group_id", "field", normal_value(F.col("value")).alias("_norm")).agg(
         F.sum("_vote").alias("_votes"), F.max(F.struct("_at", "_id", "value")).alias("_last")
@@ -89,3 +95,13 @@ def story_number(story: str = "story_id", file: str = "original_file") -> Column
 def cell_row(c: str = "id") -> Column:
     """The number after the last ``::`` of a record's id."""
     return F.nullif(F.regexp_extract(F.col(c), "::(\\d+)\\s*$", 1), F.lit("")).try_cast("bigint")
+
+
+def file_trust(rows: DataFrame, ledger: DataFrame, file: str = "original_file", listed: str = "filename", count: str = "record_count") -> DataFrame:
+    """``rows`` with ``_trust`` by what the ledger says of their file: 1 if its count is right, less the more it has drifted, 0.25 for a file that isn't listed or named."""
+    held = rows.groupBy(F.col(file).alias("_file")).agg(F.count(F.lit(1)).alias("_n")).where("_file is not null")
+    told = ledger.where(F.col(listed).isNotNull()).groupBy(F.col(listed).alias("_file")).agg(F.max(count).cast("double").alias("_listed"))
+    books = held.join(told, "_file").select("_file", F.coalesce(F.least("_n", "_listed") / F.greatest("_n", "_listed"), F.lit(0.25)).alias("_t"))
+    # rows without a file are spread over many keys; none of these is a file's name
+    at = F.coalesce(F.col(file), F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(1024)).cast("string")))
+    return rows.withColumn("_file", at).join(books, "_file", "left").withColumn("_trust", F.coalesce("_t", F.lit(0.25))).drop("_file", "_t")

@@ -132,7 +132,7 @@ def test_survivors(spark):
         (5, "b", None, None, None, 1), (6, "b", " none ", None, None, 1), (7, "c", "alone", None, None, 1), (8, None, "n", None, None, 1), (9, None, "n", None, None, 1),
     ]
     df = spark.createDataFrame(rows, "id long, g string, v string, w string, at string, copies int").withColumn("at", F.to_timestamp_ntz("at"))
-    out = {r["g"]: r for r in survivor.survivors(df, {"g": F.col("g")}, ["v", "w"], "id", "at", half_life_s=0).collect()}
+    out = {r["g"]: r for r in survivor.survivors(df, {"g": F.col("g")}, ["v", "w"], "id", "at", half_life_s=survivor.STEEP).collect()}
     assert set(out) == {"a", "b"}
     assert (out["a"]["v"], out["a"]["v_from"], out["a"]["w"], out["a"]["w_from"], out["a"]["group_id"], out["a"]["copies"]) == ("tie", 4, "t", 2, 1, 4)
     assert out["b"]["v"] is None and out["b"]["v_from"] is None and out["b"]["copies"] == 2
