@@ -1,32 +1,41 @@
 """Held-out passages inside a corpus: SimHash of item-sized windows, multi-index Hamming search, exact check.
 
-The windows of the held-out items are broadcast after their number was checked; more items than
-``MAX_WINDOWS`` allows are searched in blocks, each block against all documents. A document's windows are
-fingerprinted by running sums over its words' 64 bits. A fingerprint is cut into ``radius + 1`` blocks:
-two within the radius agree in one block at least, so looking up every block finds all of them. Each
-candidate is verified by the weighted similarity of its word shingles (rarer shingles among the items
-weigh more) and, on request, by equal words.
-
-Defined cases: null or short documents and items (fewer words than a window) give no row; repeated items
-or documents each give their own rows; very long documents are read whole; other columns are not read.
+Each item has windows of its own size, for its whole text, and windows of ten words, for passages of it. They
+are broadcast after their number was checked; more than ``MAX_WINDOWS`` are sent in blocks, and documents are
+read once for all blocks. A document's windows are fingerprinted by running sums over its words' 64 bits. A
+fingerprint is cut into ``radius + 1`` blocks: two within the radius agree in one block at least, so looking
+up every block finds all of them. Each candidate is verified by the weighted similarity of its word shingles
+(rarer shingles among the items weigh more); ``exact`` tells that the words are equal too.
+
+An edited copy of an item at a similarity of 0.8 keeps a run of ten words or more if it is longer than some
+twenty words, so the windows of ten find it although its own fingerprint may be beyond the radius.
+
+Defined cases: null documents and items and those without words give no row; items of fewer than ten words
+are searched whole; a document shorter than a window has none; repeated items or documents each give their
+own rows; a script without spaces is one word from mark to mark; very long documents are read whole; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\W_]+")
 #: The most windows in one broadcast: about 200 bytes each.
 MAX_WINDOWS = 400_000
+#: Words of a passage.
+PASSAGE = 10
 
 
 def words_of(text: str | None) -> list[str]:
@@ -163,27 +172,43 @@ class Items:
         return both / np.maximum(wx.sum(axis=1) + wy.sum(axis=1) - both, 1e-12)
 
 
-def _search(rows: list[tuple[int, str]], window: int, radius: int, size: int, least: float):
+#: One worker's search structure, by the name the driver gave its block of items.
+_READY: dict[str, list[Items]] = {}
+
+
+def _search(blocks: list[tuple[str, Broadcast]], radius: int, size: int, least: float):
+    """Documents are read and hashed once, then looked up in each block of items."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        items, hasher = Items(rows, window, radius, size), Hasher()
+        hasher = Hasher()
         for batch in batches:
-            found = []
             docs, ids = [], []
             for doc, text in zip(batch["doc"].tolist(), batch["text"].tolist()):
                 h = hasher(words_of(text))
-                if len(h) >= window:
+                if len(h):
                     docs.append(h)
                     ids.append(doc)
-            # several documents at once; windows across a border are left out
-            group, size_now = [], 0
-            for k in range(len(docs) + 1):
-                if group and (k == len(docs) or size_now + len(docs[k]) > 60_000):
-                    found += _scan(items, [docs[g] for g in group], [ids[g] for g in group], least)
+            found = []
+            for name, shared in blocks:
+                held = _READY.get(name)
+                if held is None:
+                    if len(blocks) > 1:  # one block at a time
+                        _READY.clear()
+                    by_window: dict[int, list] = {}
+                    for item, text, window in shared.value:
+                        by_window.setdefault(window, []).append((item, text))
+                    held = _READY[name] = [Items(rows, window, radius, min(size, window)) for window, rows in sorted(by_window.items())]
+                for items in held:
+                    # several documents at once; windows across a border are left out
                     group, size_now = [], 0
-                if k < len(docs):
-                    group.append(k)
-                    size_now += len(docs[k])
-            yield pd.DataFrame(found, columns=["doc", "item", "windows", "similarity", "exact"])
+                    for k in range(len(docs) + 1):
+                        if group and (k == len(docs) or size_now + len(docs[k]) > 60_000):
+                            found += _scan(items, [docs[g] for g in group], [ids[g] for g in group], least)
+                            group, size_now = [], 0
+                        if k < len(docs) and len(docs[k]) >= items.window:
+                            group.append(k)
+                            size_now += len(docs[k])
+            yield pd.DataFrame(found, columns=["doc", "item", "window", "windows", "similarity", "exact"])
 
     return run
 
@@ -198,20 +223,30 @@ def _scan(items: Items, docs: list[np.ndarray], ids: list[int], least: float) ->
     a, b = a[keep], b[keep]
     if not len(a):
         return []
+    alike = items.similarity(joined, a, b)
+    keep = alike >= least - 1e-9
+    a, b, alike = a[keep], b[keep], alike[keep]
     span = np.arange(items.window)
     same = (joined[a[:, None] + span] == items.words[items.starts[b][:, None] + span]).all(axis=1)
-    alike = np.ones(len(a))
-    other = np.flatnonzero(~same)
-    if len(other):
-        alike[other] = items.similarity(joined, a[other], b[other])
-    keep = alike >= least
     out: dict[tuple[int, int], list] = {}
-    for x, d, item, s, equal in zip(a[keep].tolist(), owner[a[keep]].tolist(), items.ids[b[keep]].tolist(), alike[keep].tolist(), same[keep].tolist()):
+    for x, d, item, s, equal in zip(a.tolist(), owner[a].tolist(), items.ids[b].tolist(), alike.tolist(), same.tolist()):
         seen = out.setdefault((d, item), [set(), 0.0, False])
         seen[0].add(x)
-        seen[1] = max(seen[1], s)
+        seen[1] = max(seen[1], min(s, 1.0))
         seen[2] |= equal
-    return [(ids[d], item, len(v[0]), v[1], v[2]) for (d, item), v in out.items()]
+    return [(ids[d], item, items.window, len(v[0]), v[1], v[2]) for (d, item), v in out.items()]
+
+
+def window_sizes(words: int, passage: int = PASSAGE, whole: bool = True) -> list[int]:
+    """The windows of an item of so many words: ten for passages, and one of the item's own size.
+
+    Own sizes are exact up to ten words, above it the largest of ten times a power of the square root of two, so
+    that documents are fingerprinted for few sizes.
+    """
+    own = []
+    if whole and words:
+        own = [words] if words <= passage else [round(passage * 2 ** (math.floor(2 * math.log2(words / passage) + 1e-9) / 2))]
+    return sorted({*own, *([passage] if words >= passage else [])})
 
 
 def leaks(
@@ -221,26 +256,28 @@ def leaks(
     doc_text: str = "text",
     item_id: str = "item_id",
     item_text: str = "text",
-    window: int = 10,
+    passage: int = PASSAGE,
+    whole: bool = True,
     radius: int = 3,
     shingle: int = 5,
     least: float = 0.8,
     max_windows: int = MAX_WINDOWS,
 ) -> DataFrame:
-    """``doc, item, windows, similarity, exact``: which documents hold windows of which items.
+    """``doc, item, window, windows, similarity, exact``: which documents hold windows of which items.
 
-    ``windows`` counts the document's windows that match, ``similarity`` is the best weighted similarity,
-    ``exact`` tells that a window is equal word by word.
+    ``window`` is the window's length in words, ``windows`` counts the document's windows that match,
+    ``similarity`` is the best weighted similarity, ``exact`` tells that a window is equal word by word.
+    ``whole=False`` leaves out the windows of the items' own sizes.
     """
+    spark = documents.sparkSession
     held = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text")).where("text is not null")
-    # windows of an item are fewer than its letters; the bound holds before anything is gathered
+    # windows of an item are fewer than twice its letters; the bound holds before anything is gathered
     letters = held.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    blocks = max(1, math.ceil(letters / 4 / max_windows))
+    blocks = max(1, math.ceil(letters / 2 / max_windows))
     docs = documents.select(F.col(doc_id).cast("long").alias("doc"), F.col(doc_text).alias("text")).where("text is not null")
-    out = None
+    shared = []
     for k in range(blocks):
         part = held.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k) if blocks > 1 else held
-        rows = [(r["item"], r["text"]) for r in part.collect()]
-        found = docs.mapInPandas(_search(rows, window, radius, shingle, least), "doc long, item long, windows long, similarity double, exact boolean")
-        out = found if out is None else out.unionByName(found)
-    return out
+        rows = [(r["item"], r["text"], w) for r in part.collect() for w in window_sizes(len(words_of(r["text"])), passage, whole)]
+        shared.append((uuid.uuid4().hex, spark.sparkContext.broadcast(rows)))
+    return docs.mapInPandas(_search(shared, radius, shingle, least), "doc long, item long, window int, windows long, similarity double, exact boolean")

@@ -167,11 +167,47 @@ def test_leaks_equal_brute_force(spark):
     df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item", F.lit(1))
     it = spark.createDataFrame(items, "item_id long, text string")
     for most in (400_000, 50):  # one block of items, and several
-        got = {(r["doc"], r["item"]) for r in leakage.leaks(df, it, max_windows=most).where("exact").collect()}
+        got = {(r["doc"], r["item"]) for r in leakage.leaks(df, it, whole=False, max_windows=most).where("exact").collect()}
         assert got == want and len(want) > 10
     assert leakage.leaks(df.limit(0), it).count() == 0 and leakage.leaks(df, it.limit(0)).count() == 0
 
 
+def test_leaks_of_edited_and_short_items(spark):
+    rng = random.Random(6)
+    vocabulary = [f"v{i}" for i in range(400)]
+    items = [(i, [rng.choice(vocabulary) for _ in range(rng.randint(3, 70))]) for i in range(80)]
+    docs = []
+    for i, words in items:
+        copy = list(words)
+        for _ in range(rng.choice([0, 0, 1, 1, 2])):
+            copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+        docs.append((i, " ".join([rng.choice(vocabulary) for _ in range(20)] + copy + [rng.choice(vocabulary) for _ in range(20)])))
+    # brute force: the best weighted similarity of the item with any run of the document of its length
+    size = {i: min(5, len(w)) for i, w in items}
+    shingle = lambda w, n: {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    count = {}
+    for i, w in items:
+        for x in shingle(w, size[i]):
+            count[x] = count.get(x, 0) + 1
+    weight = lambda x: np.log(1 + len(items) / count[x]) if x in count else np.log(2)
+    want = set()
+    for d, t in docs:
+        w = t.split()
+        for i, v in items:
+            y = shingle(v, size[i])
+            for k in range(len(w) - len(v) + 1):
+                x = shingle(w[k : k + len(v)], size[i])
+                if x & y and sum(map(weight, x & y)) >= 0.8 * sum(map(weight, x | y)):
+                    want.add((d, i))
+                    break
+    df, it = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {(r["doc"], r["item"]) for r in leakage.leaks(df, it).collect()}
+    assert len(want) > 40 and len(want & got) >= 0.98 * len(want)
+    short = {i for i, w in items if len(w) < 10}
+    assert {x for x in want if x[1] in short} == {x for x in got if x[1] in short} and len(short) > 3
+    assert leakage.window_sizes(7) == [7] and leakage.window_sizes(10) == [10] and leakage.window_sizes(70) == [10, 57] and leakage.window_sizes(0) == []
+
+
 def test_block_search_finds_all_within_the_radius():
     rng = np.random.default_rng(1)
     rows = [(0, " ".join(f"w{x}" for x in rng.integers(0, 500, 300)))]
