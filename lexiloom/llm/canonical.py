@@ -2,14 +2,19 @@
 
 Everything runs inside the JVM. Width and compatibility forms and decomposed letters are composed (NFKC)
 without touching punctuation; invisible marks go; odd spaces become U+0020. Look-alike letters are repaired
-by script: the dominant script of a token is found, and in a token of mixed scripts (or one wholly of
-look-alikes in a text of another script) the foreign letters are replaced if the result is a word of the
-corpus. The corpus vocabulary is never gathered anywhere: only the candidate words are, and the corpus is
-joined to them.
-
-Defined cases: null stays null, an empty text stays empty; a token whose repair is in no corpus text
-remains as it is, but is reported where it mixes look-alikes with letters of another alphabet; repeated
-rows are repaired alike. Texts of any length are treated whole.
+by script: the dominant script of a token is found, and in a token of mixed scripts the foreign letters are
+replaced if the result is a word of the corpus. The corpus vocabulary (words of the repaired forms) is never
+gathered anywhere: only the candidate words are, and the corpus is joined to them.
+
+The method repairs mixed tokens only. Two kinds of case go beyond it, as the problem asks for every letter of
+another script that stands in for the text's own; ``kinds`` tells them apart: ``form`` (width, composition,
+invisible marks, spaces), ``mixed`` (the method's rule), ``whole`` (a token wholly of look-alikes in a text or
+beside a word of another script, if its repair is a word of the corpus), ``unknown`` (a mixed token whose
+repair is no word of the corpus: reported, not changed).
+
+Defined cases: null stays null, an empty text stays empty; a mixed token with a foreign letter that looks like
+none is ordinary text; of two repairs equally frequent the first in order of letters is taken; repeated rows
+are repaired alike. Texts of any length are treated whole.
 """
 
 from __future__ import annotations
@@ -37,6 +42,8 @@ OWN = f"[\\p{{IsCyrillic}}\\p{{IsGreek}}&&[^{LOOKALIKE_FROM}]]"
 # Latin letters as their Cyrillic twins, from the same table
 _BACK = {b: a for a, b in reversed(list(zip(LOOKALIKE_FROM, LOOKALIKE_TO))) if "Ѐ" <= a <= "ӿ"}
 _LATIN, _CYRILLIC = "".join(_BACK), "".join(_BACK.values())
+#: A token wholly of Latin look-alikes right after a Cyrillic word.
+INTRUDER = f"(?<=\\p{{IsCyrillic}} )[{_LATIN}]+(?![\\p{{L}}\\p{{M}}\\p{{N}}])"
 
 
 def unusual(c: Column) -> Column:
@@ -78,11 +85,11 @@ def _candidates(long: DataFrame) -> DataFrame:
     other = F.length(F.regexp_replace("text", f"[^{ALPHABETS[1:-1]}]", ""))
     foreign = long.where(F.col("text").rlike(ALPHABETS)).select("key", "field", "text", ((latin >= other) & ~F.col("text").rlike(OWN)).alias("_latin_text"))
     # a text with real words of another alphabet is no suspect unless a token mixes alphabets
-    foreign = foreign.where(F.col("_latin_text") | F.col("text").rlike(MIXED)).select("key", "field", "_latin_text", form_repaired(F.col("text")).alias("_r"))
-    tokens = foreign.select(
-        "key", "field", "_latin_text", F.explode(F.array_distinct(F.regexp_extract_all("_r", F.lit(TOKEN), 0))).alias("token")
-    ).where(F.col("token").rlike(ALPHABETS))
-    mixed = F.col("token").rlike("\\p{IsLatin}")
+    foreign = foreign.where(F.col("_latin_text") | F.col("text").rlike(f"{MIXED}|{INTRUDER}")).select("key", "field", "_latin_text", form_repaired(F.col("text")).alias("_r"))
+    own = F.filter(F.regexp_extract_all("_r", F.lit(TOKEN), 0), lambda t: t.rlike(ALPHABETS))
+    intruders = F.when(F.col("_latin_text"), F.array().cast("array<string>")).otherwise(F.regexp_extract_all("_r", F.lit(INTRUDER), 0))
+    tokens = foreign.select("key", "field", "_latin_text", F.explode(F.array_union(own, intruders)).alias("token"))
+    mixed = F.col("token").rlike("\\p{IsLatin}") & F.col("token").rlike(ALPHABETS)
     to_latin = F.translate("token", LOOKALIKE_FROM, LOOKALIKE_TO)
     to_cyrillic = F.translate("token", _LATIN, _CYRILLIC)
     options = F.filter(
@@ -99,7 +106,7 @@ def _candidates(long: DataFrame) -> DataFrame:
 
 
 def repairs(long: DataFrame, corpus: DataFrame) -> DataFrame:
-    """``key, field, token, word`` for each token to be repaired; ``word`` is null where no repair is a corpus word but the token mixes alphabets.
+    """``key, field, token, word, kind`` for each token to be repaired; ``word`` is null where no repair is a corpus word but the token mixes alphabets.
 
     ``corpus`` has a column ``text``; its words are counted where they are candidates, all texts included.
     """
@@ -107,23 +114,31 @@ def repairs(long: DataFrame, corpus: DataFrame) -> DataFrame:
     wanted = found.select(F.lower("word").alias("_w")).distinct()
     # repeated texts are read for words once, and words are counted before they move
     texts = corpus.groupBy("text").agg(F.count(F.lit(1)).alias("_c"))
-    clean = texts.select("_c", F.explode(F.split(F.lower("text"), "[^\\p{L}\\p{M}]+")).alias("_w"))
+    clean = texts.select("_c", F.explode(F.split(F.lower(form_repaired(F.col("text"))), "[^\\p{L}\\p{M}]+")).alias("_w"))
     known = clean.groupBy("_w").agg(F.sum("_c").alias("_n")).join(wanted, "_w", "left_semi")
     scored = found.withColumn("_w", F.lower("word")).join(known, "_w", "left")
     suits = F.coalesce(F.col("_n"), F.lit(0)) * F.when(F.col("_latin_token") == F.col("word").rlike("\\p{IsLatin}"), 4).otherwise(1)
-    best = scored.groupBy("key", "field", "token").agg(F.max("mixed").alias("mixed"), F.max_by("word", F.when(suits > 0, suits)).alias("word"))
-    return best.where("mixed or word is not null").select("key", "field", "token", "word")
+    best = scored.groupBy("key", "field", "token").agg(F.max("mixed").alias("mixed"), F.max_by("word", F.when(suits > 0, F.struct(suits, -F.ascii("word"), "word"))).alias("word"))
+    kind = F.when(F.col("word").isNull(), "unknown").when(F.col("mixed"), "mixed").otherwise("whole")
+    return best.where("mixed or word is not null").select("key", "field", "token", "word", kind.alias("kind"))
 
 
 def canonical_texts(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """``key, field, text, canonical, is_case`` for every text that is not null."""
+    """``key, field, text, canonical, is_case, kinds`` for every text that is not null."""
     long = texts_of(rows, key, fields)
     fixed = repairs(long, long)
-    book = fixed.groupBy("key", "field").agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("word", "token").alias("word")))).alias("_book"))
+    book = fixed.groupBy("key", "field").agg(F.map_from_entries(F.collect_list(F.struct("token", F.coalesce("word", "token").alias("word")))).alias("_book"), F.sort_array(F.collect_set("kind")).alias("_kinds"))
     pieces = F.regexp_extract_all("_r", F.lit(f"{TOKEN}|[^\\p{{L}}\\p{{M}}]+"), 0)
     marked = long.select("key", "field", "text", form_repaired(F.col("text")).alias("_r"), form_case(F.col("text")).alias("_form")).join(book, ["key", "field"], "left")
     whole = F.when(F.col("_book").isNull(), F.col("_r")).otherwise(F.array_join(F.transform(pieces, lambda p: F.coalesce(F.col("_book")[p], p)), ""))
-    return marked.select(F.col("key").alias(key), "field", "text", whole.alias("canonical"), (F.col("_form") | F.col("_book").isNotNull()).alias("is_case"))
+    none = F.array().cast("array<string>")
+    kinds = F.concat(F.when(F.col("_form"), F.array(F.lit("form"))).otherwise(none), F.coalesce("_kinds", none))
+    return marked.select(F.col("key").alias(key), "field", "text", whole.alias("canonical"), (F.col("_form") | F.col("_book").isNotNull()).alias("is_case"), kinds.alias("kinds"))
+
+
+def form_cases(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """``key, field`` of the texts with a case of width, composition, invisible marks or spaces."""
+    return texts_of(rows, key, fields).where(form_case(F.col("text"))).select(F.col("key").alias(key), "field")
 
 
 def disguised(rows: DataFrame, key: str, fields: list[str]) -> DataFrame:

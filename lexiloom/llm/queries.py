@@ -25,6 +25,11 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(load(spark, d, "rag_pairs"), "pair_id", ["source_text", "target_text"])
 
 
+def p1_forms(spark: SparkSession, d: str) -> DataFrame:
+    """The cases of ``p1_found`` that need no vocabulary, which SQL can follow."""
+    return canonical.form_cases(load(spark, d, "rag_pairs"), "pair_id", ["source_text", "target_text"])
+
+
 def p2_token_totals(spark: SparkSession, d: str) -> DataFrame:
     code = _matcher(spark, d).named(F.col("target_lang"))
     slices = {"source_group": F.col("source_group"), "original_file": F.col("original_file"), "language": code, "section_kind": tokens.section_kind(F.col("section_code"))}
@@ -165,6 +170,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_canonical": p1_canonical,
+        "p1_forms": p1_forms,
         "p2_token_totals": p2_token_totals,
         "p2_row_tokens": p2_row_tokens,
         "p3_found": p3_found,

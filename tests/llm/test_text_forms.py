@@ -31,10 +31,25 @@ def test_canonical_repairs_each_case(spark):
     # Oуvrir mixes alphabets but its repair is no word of the corpus: it stays and is reported
     assert got[1, "target_text"]["canonical"] == "Oуvrir" and got[1, "target_text"]["is_case"]
     assert not got[0, "target_text"]["is_case"]
+    assert (got[1, "source_text"]["kinds"], got[2, "source_text"]["kinds"], got[1, "target_text"]["kinds"], got[0, "target_text"]["kinds"]) == (["form"], ["mixed"], ["unknown"], [])
     found = {tuple(r) for r in canonical.disguised(rows_of(spark, texts), "pair_id", ["source_text", "target_text"]).collect()}
     assert found == {k for k, r in got.items() if r["is_case"]}
 
 
+def test_latin_letters_among_cyrillic_words(spark):
+    texts = [("Подробнее о Bobubili", "Скажите о нём"), ("Подробнее o Bobubili", "Подробнее и o nosso plano"), ("Open o Bobubili", None)]
+    got = {(r["pair_id"], r["field"]): r for r in canonical.canonical_texts(rows_of(spark, texts), "pair_id", ["source_text", "target_text"]).collect()}
+    assert got[1, "source_text"]["canonical"] == "Подробнее о Bobubili" and got[1, "source_text"]["kinds"] == ["whole"]
+    assert not got[0, "source_text"]["is_case"] and not got[2, "source_text"]["is_case"]
+
+
+def test_equal_repairs_are_settled_alike(spark):
+    # both readings are words of the corpus, equally often
+    texts = [("сор cop", None), ("сop", None)]
+    runs = {canonical.canonical_texts(rows_of(spark, texts).repartition(n), "pair_id", ["source_text"]).where("pair_id = 1").first()["canonical"] for n in (1, 3, 5)}
+    assert len(runs) == 1
+
+
 def test_canonical_is_stable_and_takes_empty_tables(spark):
     texts = [("ﬁlter ８７ ｶﾞ", "x" * 20_000 + " ＡＢ")]
     once = canonical.canonical_texts(rows_of(spark, texts), "pair_id", ["source_text", "target_text"])
