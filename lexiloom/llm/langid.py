@@ -1,12 +1,13 @@
 """Document and segment languages by Bayesian fusion of four kinds of evidence.
 
 The text's likelihood comes from a naive Bayes model over words (single characters for Han, letter
-trigrams for words not seen), fitted on at most ``TRAIN_ROWS`` rows whose declared label is a canonical
-name, in two rounds: the second leaves out sentences that the first assigns elsewhere. It is combined with
+trigrams for words not seen), fitted on at most ``TRAIN_ROWS`` rows of each language whose declared label is a
+canonical name, in two rounds: the second leaves out sentences that the first assigns elsewhere. It is combined with
 the declared label (the sheet), the label at the end of the record's address (``file::label::row``), and a
 prior of the host (the file), which is smoothed towards its story's and that towards the whole table's, all
 by grouped aggregation over all rows. Segments of a text (sentences, lines, entries) get a language of
-their own where their likelihood speaks against the text's by more than a prior of mixing.
+their own where their likelihood speaks against the text's by more than a prior of mixing. How much a label weighs
+is fitted too: the log odds that labels and texts of the sample agree.
 
 Defined cases: null and blank texts and placeholders get no language; a text without any word (numbers
 only) gets the language of the labels and the host, with a low confidence; ties go to the language first
@@ -26,16 +27,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .forms import LOOKALIKE_FROM, LOOKALIKE_TO, blank
-from .sample import least_hashed
+from .sample import least_hashed_by
 
-TRAIN_ROWS = 12_000
+TRAIN_ROWS = 1_000
+#: Hosts whose priors are sent to the workers (some 200 bytes each); beyond it they are joined.
+MAX_HOSTS = 50_000
 TOKEN = re.compile(r"[가-힣]+|[ぁ-ゖァ-ヺー]+|[㐀-鿿]|[、，]|[^\W\d_가-힣ぁ-ゖァ-ヺー㐀-鿿]+")
 SEGMENT = re.compile(r"(?<=[.!?])\s+|(?<=[。！？])\s*|[\r\n]+|\s+[/|]\s+|;\s+")
 HIDDEN = re.compile("[­​-‏⁠﻿]")
 _TWIN = str.maketrans(LOOKALIKE_FROM, LOOKALIKE_TO)
-#: How sure a label is: odds of the labelled language to any other, and of a segment to be in the text's language.
-LABEL_ODDS, SUFFIX_ODDS, MIX_ODDS = 4.0, 3.0, 4.5
+#: Bounds of the fitted log odds of a label, what an address suffix has of them, and the log odds of a segment to be in the text's language.
+LABEL_LEAST, LABEL_MOST, SUFFIX_SHARE, MIX_ODDS = 1.0, 4.0, 0.75, 4.5
 #: A word seen this often counts by half.
 RARE = 5.0
 #: Weight of an unseen word's letters beside a seen word, and the strength of smoothing along the hosts.
@@ -70,6 +74,7 @@ class Model:
         self.tri: dict[str, np.ndarray] = {}
         self.extra: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
+        self.label_odds = LABEL_MOST
 
     def index(self, tokens: list[str]) -> list[int]:
         """Rows of the matrix; unseen words are given a row of their own and remembered up to a bound."""
@@ -139,12 +144,16 @@ def fit(rows: list[tuple[str, str]]) -> Model:
         model.extra, model.rows = {}, []
         if turn == 0:
             scores, owner = model.score([d for d, _ in docs])
-            kept, at = [], 0
+            kept, at, agree, apart = [], 0, 1, 1
             for segs, k in docs:
                 own = scores[at : at + len(segs)]
                 at += len(segs)
+                if len(segs):
+                    mine = own.sum(axis=0)
+                    agree, apart = (agree + 1, apart) if mine[k] >= mine.max() - 1e-6 else (agree, apart + 1)
                 kept.append(([s for s, x in zip(segs, own) if x[k] >= x.max() - 2.0], k))
             docs = kept
+            model.label_odds = min(max(math.log(agree / apart), LABEL_LEAST), LABEL_MOST)
     return model
 
 
@@ -200,10 +209,10 @@ def host_priors(rows: DataFrame, langs: list[str], host: str, group: str, label:
     return out, [math.log(x) for x in whole]
 
 
-def train(rows: DataFrame, text: str, label: str, key: str, total: int, most: int = TRAIN_ROWS) -> Model:
-    """Fit on the ``most`` labelled rows of about ``total`` whose key has the least hash. A language needs rows here to be told."""
+def train(rows: DataFrame, text: str, label: str, key: str, most: int = TRAIN_ROWS) -> Model:
+    """Fit on the ``most`` rows of each label whose key has the least hash. A language needs rows here to be told."""
     held = rows.where(F.col(label).isNotNull() & ~blank(F.col(text))).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
-    return fit([(r["t"], r["l"]) for r in least_hashed(held, "k", most, total)])
+    return fit([(r["t"], r["l"]) for r in least_hashed_by(held, "k", "l", most)])
 
 
 def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str, make, schema: str) -> DataFrame:
@@ -211,9 +220,15 @@ def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str,
     langs = model.langs
     labels = rows.select(F.col(host).alias("_host"), F.col(group).alias("_group"), F.coalesce(F.col(declared), F.col(suffix)).alias("_label"))
     priors, whole = host_priors(labels, langs, "_host", "_group", "_label")
+    priors = cut(priors)
     shared = rows.sparkSession.sparkContext.broadcast((model, np.array(whole, np.float32)))
     held = rows.where(~blank(F.col(text))).select(F.col(key).alias("id"), F.col(text).alias("t"), F.col(declared).alias("declared"), F.col(suffix).alias("suffix"), F.col(host).alias("_host"))
-    joined = held.join(priors, "_host", "left").select("id", "t", "declared", "suffix", "_prior")
+    if priors.count() <= MAX_HOSTS:
+        joined = held.join(F.broadcast(priors), "_host", "left")
+    else:  # rows without a host are spread over many keys; none of these is a host's name
+        spread = F.coalesce("_host", F.concat(F.lit("\u0000"), F.pmod(F.xxhash64("id"), F.lit(1024)).cast("string")))
+        joined = held.withColumn("_host", spread).join(priors, "_host", "left")
+    joined = joined.select("id", "t", "declared", "suffix", "_prior")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own, table = shared.value
@@ -222,7 +237,7 @@ def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str,
             if not len(b):
                 continue
             prior = np.stack([table if p is None else np.asarray(p, np.float32) for p in b["_prior"]])
-            for col, odds in (("declared", LABEL_ODDS), ("suffix", SUFFIX_ODDS)):
+            for col, odds in (("declared", own.label_odds), ("suffix", SUFFIX_SHARE * own.label_odds)):
                 at = np.array([place.get(x, -1) for x in b[col]], np.int64)
                 hit = np.flatnonzero(at >= 0)
                 prior[hit, at[hit]] += odds
