@@ -240,12 +240,12 @@ def _scan(items: Items, docs: list[np.ndarray], ids: list[int], least: float) ->
 def window_sizes(words: int, passage: int = PASSAGE, whole: bool = True) -> list[int]:
     """The windows of an item of so many words: ten for passages, and one of the item's own size.
 
-    Own sizes are exact up to ten words, above it the largest of ten times a power of the square root of two, so
-    that documents are fingerprinted for few sizes.
+    Own sizes are exact up to ten words, above it the largest of ten times a power of two, so that documents are
+    fingerprinted for few sizes; an item's windows then begin at each of its words as long as they fit.
     """
     own = []
     if whole and words:
-        own = [words] if words <= passage else [round(passage * 2 ** (math.floor(2 * math.log2(words / passage) + 1e-9) / 2))]
+        own = [words] if words <= passage else [passage << int(math.log2(words / passage) + 1e-9)]
     return sorted({*own, *([passage] if words >= passage else [])})
 
 

@@ -205,7 +205,7 @@ def test_leaks_of_edited_and_short_items(spark):
     assert len(want) > 40 and len(want & got) >= 0.98 * len(want)
     short = {i for i, w in items if len(w) < 10}
     assert {x for x in want if x[1] in short} == {x for x in got if x[1] in short} and len(short) > 3
-    assert leakage.window_sizes(7) == [7] and leakage.window_sizes(10) == [10] and leakage.window_sizes(70) == [10, 57] and leakage.window_sizes(0) == []
+    assert leakage.window_sizes(7) == [7] and leakage.window_sizes(10) == [10] and leakage.window_sizes(70) == [10, 40] and leakage.window_sizes(0) == []
 
 
 def test_block_search_finds_all_within_the_radius():
