@@ -211,8 +211,8 @@ def host_priors(rows: DataFrame, langs: list[str], host: str, group: str, label:
 
 def train(rows: DataFrame, text: str, label: str, key: str, most: int = TRAIN_ROWS) -> Model:
     """Fit on the ``most`` rows of each label whose key has the least hash. A language needs rows here to be told."""
-    held = rows.where(F.col(label).isNotNull() & ~blank(F.col(text))).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
-    return fit([(r["t"], r["l"]) for r in least_hashed_by(held, "k", "l", most)])
+    held = rows.where(F.col(label).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(label).alias("l"))
+    return fit([(r["t"], r["l"]) for r in least_hashed_by(held, "k", "l", most, ~blank(F.col("t")))])
 
 
 def _assigned(rows: DataFrame, model: Model, key: str, text: str, declared: str, suffix: str, host: str, group: str, make, schema: str) -> DataFrame:
