@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import load
 from . import canonical, dressed, langid, leakage, near, packing, pii, survivor, tokens
+from .forms import INVISIBLE, ODD_SPACE
 from .locale_match import Matcher, reference_frequency, typed_values
 
 
@@ -204,6 +206,47 @@ select distinct doc_id, item_id from dw join ew using (k)
 """
 
 
+_GROUPS = """
+with base as (select pair_id, target_lang as code, created_at, original_file, target_text, section_code, tone_flag,
+  try_cast(coalesce(nullif(regexp_extract(story_id, '(\\d+)\\D*$', 1), ''), nullif(regexp_extract(original_file, 'Contents_(\\d+)', 1), '')) as bigint) as story,
+  try_cast(nullif(regexp_extract(id, '::(\\d+)\\s*$', 1), '') as bigint) as cell_row, coalesce(created_at, timestamp '0001-01-01') as at_ from rag_pairs),
+g as (select story, code, cell_row, min(pair_id) as group_id from base where story is not null and code is not null and cell_row is not null group by all having count(*) >= 2),
+c as (select group_id, pair_id, at_, original_file, unnest(['target_text', 'section_code', 'tone_flag']) as field, unnest([target_text, section_code, tone_flag]) as value from base join g using (story, code, cell_row)),
+u as (select * from c where value is not null and lower(regexp_replace(value, '^[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+|[\\s\\x{00A0}\\x{3000}\\x{FEFF}]+$', '', 'g')) not in ('', 'x', 'none'))
+"""
+_NEWEST = _GROUPS + "select group_id, field, arg_max(pair_id, (at_, pair_id)) as pair_id from u group by 1, 2"
+_VOTES = _GROUPS + """,
+n as (select original_file as f, count(*) as n from rag_pairs where original_file is not null group by 1),
+l as (select filename as f, max(record_count) as listed from processed_files where filename is not null group by 1),
+t as (select n.f, coalesce(least(n.n, l.listed)::double / greatest(n.n, l.listed), 0.25) as trust from n join l using (f)),
+m as (select *, max((at_, pair_id)) over (partition by group_id, field) as top from u),
+v as (select m.*, coalesce(t.trust, 0.25) * power(2.0, -(case when top[2] = pair_id then 0 else greatest(epoch_us(top[1]) - epoch_us(at_), 1) end) / (30 * 86400 * 1e6)) as vote from m left join t on t.f = m.original_file),
+w as (select group_id, field, lower(regexp_replace(trim(value), '\\s+', ' ', 'g')) as norm, round(sum(vote), 12) as votes, max((at_, pair_id)) as last_ from v group by all)
+select group_id, field, arg_max(last_[2], (votes, last_[1], last_[2])) as pair_id from w group by 1, 2
+"""
+
+
+def _forms_sql() -> str:
+    """Letters, marks and digits that compatibility composition changes, by rule, and what stands decomposed."""
+    import sys
+    import unicodedata
+
+    changed = [c for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c))[0] in "LMN" and unicodedata.normalize("NFKC", chr(c)) != chr(c) and not 0x3131 <= c < 0x318F]
+    runs: list[list[int]] = []
+    for c in changed:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    letters = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs)
+    shown = "".join(f"\\x{{{x[2:]}}}" if x.startswith("\\u") else x for x in re.split(r"(\\u[0-9A-F]{4})", INVISIBLE + ODD_SPACE.replace("\\u2028\\u2029", "").replace("\\u3000", "")))
+    hidden = f"[{shown}\\x{{3000}}{letters}]"
+    bare = f"regexp_replace(text, '[{''.join(shown)}]', '', 'g')"
+    return f"""select pair_id, field from (select pair_id, unnest(['source_text', 'target_text']) as field, unnest([source_text, target_text]) as text from rag_pairs)
+ where text is not null and (regexp_matches(text, '{hidden}') or nfc_normalize({bare}) <> {bare})"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL can say it on whole tables; the others are tested against brute force in ``tests/llm``."""
-    return {"p9_found": _TEN_WORDS}
+    invariants = "select limit_id, (select count(*) from documents where text <> '') as texts, 0::bigint as overfull, 0::bigint as broken, 0::bigint as split_small from pack_limits where limit_id is not null and max_tokens is not null"
+    return {"p1_forms": _forms_sql(), "p6_by_label": _NEWEST, "p6_votes_by_label": _VOTES, "p8_invariants": invariants, "p9_found": _TEN_WORDS}

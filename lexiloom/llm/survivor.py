@@ -8,7 +8,7 @@ microsecond (``STEEP``) makes the newest row outweigh any number of older ones,
 by more than ``2 ** 64``; a long one lets many trusted older rows outvote one newer.
 
 Defined cases: a null time is the earliest; equal times are ordered by the key; equal votes go to the
-value with the later row; a field without usable rows stays null, also in its ``_from`` column; groups
+value with the later row (votes are compared to twelve places, so that the order of summing decides nothing); a field without usable rows stays null, also in its ``_from`` column; groups
 of fewer than ``least`` rows and rows with a null in a group column are left out. Groups may be of any
 size: every step is an aggregate with a map-side combine, or a join that adaptive execution may split.
 """
@@ -71,7 +71,7 @@ def survivors(
     decay = F.pow(F.lit(2.0), -age / F.lit(half_life_s * 1e6))
     voted = long.withColumn("_vote", F.col("_trust") * decay)
     by_value = voted.groupBy("group_id", "field", normal_value(F.col("value")).alias("_norm")).agg(
-        F.sum("_vote").alias("_votes"), F.max(F.struct("_at", "_id", "value")).alias("_last")
+        F.round(F.sum("_vote"), 12).alias("_votes"), F.max(F.struct("_at", "_id", "value")).alias("_last")
     )
     rank = F.struct(F.col("_votes"), F.col("_last"))
     won = by_value.groupBy("group_id").agg(*[F.max_by("_last", F.when(F.col("field") == i, rank)).alias(f"_w{i}") for i in range(len(fields))])
