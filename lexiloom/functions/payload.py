@@ -47,3 +47,31 @@ def word_changes(original: Column, suggested: Column) -> Column:
     own = words(original)
     low = F.transform(own, F.lower)
     return F.transform(words(suggested), lambda w: F.struct(w.alias("word"), F.when(F.array_contains(own, w), "same").when(F.array_contains(low, F.lower(w)), "case").otherwise("new").alias("change")))
+
+
+#: Blocks of a report's item whose contents decide its status.
+CASING, GLOSSARY, ANSWER = "casing", "glossary", "answer"
+# Marks in an item's blocks
+NO_EXTRA, NOT_CASED, NO_REMARK, FAILED = "추가 대문자 수: 0개", "문장형 아님", "별도 지적 사항 없음", ["[AI QA 오류]", "[Gemini QA 오류]"]
+REVISE, SUGGEST = ["Needs Revision", "수정 필요", "오류"], ["수정 제안", "Good", "양호"]
+
+
+def item_status(casing: Column, glossary: Column, answer: Column) -> Column:
+    """``struct<status, tags>`` of a report's item: pass, warn or fail by the answer's JSON, or by its words where it is none; tags casing, glossary, error and suggestion."""
+    text = F.coalesce(answer, F.lit(""))
+    has = lambda marks: F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: text.contains(m))
+    told = F.try_parse_json(F.when(F.trim(text).startswith("{"), text))
+    get = lambda path, kind: F.try_variant_get(told, path, kind)
+    grade, excellent = get("$.grade", "string"), get("$.is_excellent", "boolean")
+    good = F.coalesce(excellent, F.lit(False)) | (F.coalesce(grade, F.lit("")) == "Excellent")
+    revise = (F.coalesce(grade, F.lit("")) == "Needs Revision") | ~F.coalesce(excellent, F.lit(True))
+    fix = (F.trim(F.coalesce(get("$.suggested_fix", "string"), F.lit(""))) != "") | (F.coalesce(grade, F.lit("")) == "Good")
+    by_json = F.when(revise, "fail").when(fix | ~good, "warn").otherwise("pass")
+    by_words = F.when(has(REVISE), "fail").when(has(SUGGEST), "warn").otherwise("pass")
+    status = F.when(text == "", "pass").when(has(FAILED), "fail").when(told.isNotNull(), by_json).otherwise(by_words)
+    own = F.coalesce(casing, F.lit(""))
+    words = F.coalesce(glossary, F.lit(""))
+    tags = F.array_compact(F.array(
+        F.when(own.contains(NOT_CASED) & ~own.contains(NO_EXTRA), CASING), F.when((words != "") & ~words.contains(NO_REMARK), GLOSSARY), F.when(has(FAILED), "error"), F.when((status == "warn") & (text != ""), "suggestion")
+    ))
+    return F.struct(status.alias("status"), tags.alias("tags"))

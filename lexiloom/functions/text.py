@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,23 +13,22 @@ QUOTES, PLAIN_QUOTES = "“”‘’", "\"\"''"
 KEPT_SHORT = ["ok", "on", "off", "ai", "5g", "go", "up", "usb", "nfc"]
 # Sheet heads whose source is Korean; all others have an English source
 FROM_KOREAN = ["JA", "CN", "TW", "US"]
-# Languages that write sentence case
-CASED_LANGUAGES = ["English", "German", "French", "Italian", "Spanish", "Portuguese", "Dutch", "Swedish", "Polish", "Turkish", "Russian", "Vietnamese", "Norwegian"]
+# Languages that write sentence case, as a language's name begins
+CASED_LANGUAGES = ["English", "German", "French", "Spanish", "Portuguese", "Italian", "Dutch", "Swedish", "Polish", "Turkish", "Indonesian", "Vietnamese", "Russian"]
 # Marks of a rule that switches a term off, or frees it from brackets
 SWITCHED_OFF, NO_BRACKETS = "비활성화|deactivate|disable", "no bracket|대괄호 제외|괄호 제외"
-# Full names of languages and the sheet head they mean
+# Full names of languages and the code of their sheet
 LANGUAGE_HEADS = {
-    "korean": "KR", "english": "US", "japanese": "JA", "chinese": "CN", "taiwanese": "TW", "german": "DE", "french": "FR", "italian": "IT", "spanish": "ES",
-    "portuguese": "PT", "dutch": "NL", "swedish": "SE", "polish": "PL", "turkish": "TR", "russian": "RU", "vietnamese": "VN",
+    "korean": "KR", "english": "US", "english_us": "US", "english_uk": "UK", "english_au": "AU", "english_sg": "SG", "german": "DE", "japanese": "JA", "french": "FR",
+    "french_belgium": "BE", "french_canada": "CA", "italian": "IT", "spanish": "ES", "dutch": "NL", "swedish": "SE", "arabic": "AE", "russian": "RU", "turkish": "TR",
+    "polish": "PL", "vietnamese": "VN", "thai": "TH", "indonesian": "ID", "chinese": "CN", "chinese_simplified": "CN", "chinese_traditional": "TW", "taiwanese": "TW",
+    "portuguese": "PT", "portuguese_br": "BR", "portuguese_brazil": "BR",
 }
 
 
-def _nfkc(c: Column) -> Column:
-    @F.pandas_udf("string")
-    def normal(texts: pd.Series) -> pd.Series:
-        return texts.str.normalize("NFKC")
-
-    return normal(c)
+def compose(c: Column) -> Column:
+    """Unicode NFKC inside the JVM, by the ICU library that Spark ships for its collations; ``c`` must not be null."""
+    return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
 
 
 def straight(c: Column) -> Column:
@@ -39,10 +37,9 @@ def straight(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """``straight`` after Unicode NFKC; only texts beyond ASCII are sent to Python for it."""
+    """``straight`` after Unicode NFKC; plain ASCII needs none."""
     plain = F.coalesce(c, F.lit(""))
-    beyond = plain.rlike("[^\\x00-\\x7F]")
-    return straight(F.when(beyond, _nfkc(F.when(beyond, plain))).otherwise(plain))
+    return straight(F.when(plain.rlike("[^\\x00-\\x7F]"), compose(plain)).otherwise(plain))
 
 
 def is_placeholder_text(c: Column, marks: Iterable[str] = ("x", "none")) -> Column:
@@ -80,11 +77,13 @@ def collection_of(language: Column) -> Column:
     return F.when(low.contains("korea") | (low == "ko"), "kr").otherwise("us")
 
 
-def language_code(c: Column) -> Column:
-    """A two- or three-letter head as it is, a full name by the table, else null."""
-    head = F.trim(F.split(c, "[(（]")[0])
-    named = F.create_map(*[F.lit(x) for kv in LANGUAGE_HEADS.items() for x in kv])
-    return F.when(head.rlike("^[A-Za-z]{2,3}$"), F.upper(head)).otherwise(named[F.lower(head)])
+def language_code(c: Column, strict: bool = False) -> Column:
+    """A head of two or three letters in capitals, else a full name by the table (blanks and hyphens as underscores); else null, or with ``strict`` an error."""
+    whole = F.trim(c)
+    head = F.trim(F.split(whole, "[(（]")[0])
+    named = F.create_map(*[F.lit(x) for kv in LANGUAGE_HEADS.items() for x in kv])[F.translate(F.lower(whole), " -", "__")]
+    code = F.when(head.rlike("^[A-Za-z]{2,3}$"), F.upper(head)).otherwise(named)
+    return F.when(code.isNotNull(), code).otherwise(F.raise_error(F.concat(F.lit("no language: "), F.coalesce(c, F.lit("null"))))) if strict else code
 
 
 def context_mode(row_key: Column) -> Column:
@@ -179,3 +178,49 @@ def formula_key(formula: Column, story: Column) -> Column:
     parts = F.split(F.regexp_replace(formula, "^=", ""), "&")
     value = F.array_join(F.transform(parts, lambda p: F.when(F.trim(p).startswith('"'), F.regexp_replace(F.trim(p), '^"|"$', "")).otherwise(number)), "")
     return F.when(formula.startswith("=") & value.startswith("//"), value).otherwise(formula)
+
+
+def input_formatting(language: Column, row_key: Column) -> Column:
+    """``struct<prefix, suffix>`` round glossary terms: empty for titles and buttons."""
+    opening, closing = bracket_pair(language)
+    bare = context_mode(row_key) == "title_button"
+    return F.struct(F.when(bare, "").otherwise(opening).alias("prefix"), F.when(bare, "").otherwise(closing).alias("suffix"))
+
+
+def model_choice(c: Column) -> Column:
+    """``model:variant`` as ``struct<model, thinking_budget, reasoning_effort>``; other variants leave the defaults."""
+    parts = F.split(c, ":")
+    variant = F.coalesce(F.get(parts, F.lit(1)), F.lit(""))
+    effort = F.when(variant.isin("reasoning_high", "reasoning_medium", "reasoning_low"), F.substring(variant, 11, 20))
+    return F.struct(parts[0].alias("model"), F.when(variant == "thinking_off", 0).alias("thinking_budget"), effort.alias("reasoning_effort"))
+
+
+def provider(model: Column, marks: str = "gpt|o1|o3|o4", named: str = "gpt", other: str = "default") -> Column:
+    """Which of two providers a model's name belongs to."""
+    return F.when(F.lower(model).rlike(marks), named).otherwise(other)
+
+
+def capability_level(app: Column, source: Column, memory: Column, vectors: Column, key: Column, glossary: Column, python: Column) -> Column:
+    """From 1 (workbooks only) over 2 (memory) and 3 (vectors) to 4 (all), by what is at hand."""
+    semantic = memory & vectors & key
+    return F.when(~(app & source), 1).when(semantic & glossary & python, 4).when(semantic, 3).when(memory, 2).otherwise(1)
+
+
+def first_given(**choices: Column) -> Column:
+    """``struct<name, value>`` of the first choice that is neither null nor blank, in the order given; both null where there is none."""
+    name = value = None
+    for n, c in choices.items():
+        held = F.trim(F.coalesce(c, F.lit(""))) != ""
+        name = F.when(held, n) if name is None else name.when(held, n)
+        value = F.when(held, c) if value is None else value.when(held, c)
+    return F.struct(name.alias("name"), value.alias("value"))
+
+
+def dated(given: Column, today: Column | None = None) -> Column:
+    """A given date as it is, else today's as ``yyyy.MM.dd``."""
+    return F.coalesce(clean_text(given), F.date_format(F.current_date() if today is None else today, "yyyy.MM.dd"))
+
+
+def stamped(name: Column, at: Column) -> Column:
+    """A file's name with a time before its ending."""
+    return F.concat(F.regexp_replace(name, "\\.[^.]*$", ""), F.lit("_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.regexp_extract(name, "(\\.[^.]*)$", 1))

@@ -93,3 +93,22 @@ def verified(changed: DataFrame, approved: DataFrame, key: list[str]) -> DataFra
     """``missing, unexpected``: approved cells that did not change, and changed cells that were not approved."""
     a, b = changed.select(*key).distinct(), approved.select(*key).distinct()
     return b.subtract(a).agg(F.count(F.lit(1)).alias("missing")).join(a.subtract(b).agg(F.count(F.lit(1)).alias("unexpected")))
+
+
+def sheets(cells: DataFrame) -> DataFrame:
+    """``file, sheet, sheet_ord``: the sheets of each workbook in their order."""
+    return cells.select("file", "sheet", "sheet_ord").distinct().orderBy("file", "sheet_ord")
+
+
+def range_dump(cells: DataFrame, ranges: str, sheet: str | None = None) -> DataFrame:
+    """Cells of a list of ranges, of one sheet or of all, in order of sheet, row and column."""
+    rows = cells.where(in_ranges(ranges, F.col("row"), F.col("col")))
+    if sheet is not None:
+        rows = rows.where(F.col("sheet") == sheet)
+    return rows.orderBy("file", "sheet_ord", "row", "col")
+
+
+def keyed_texts(cells: DataFrame, by: list[str], key: str, text: str, row: str, first: int = 7, last: int = 28) -> DataFrame:
+    """The text of each key within the rows of a story; of several the later row's, placeholders and keys left blank aside."""
+    usable = cells.where(F.col(row).between(first, last) & ~T.is_placeholder_text(F.col(text), ("x",)) & (F.trim(F.coalesce(F.col(key), F.lit(""))) != ""))
+    return usable.groupBy(*by, key).agg(F.max_by(text, F.struct(row, text)).alias(text))

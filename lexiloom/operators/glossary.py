@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .memory import upsert
 
 RULE_MARKS = "rule|규칙|비고|note"
 
@@ -77,7 +78,7 @@ def with_ids(existing: DataFrame, new: DataFrame, key: list[str], order: list[st
     known = new.join(existing.select("id", *key), key, "left")
     top = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("_top"))
     fresh = known.where("id is null").drop("id")
-    # a glossary's new entries are numbered in one order; it is a small table by nature
+    # new entries are numbered in one order, which takes one task: a glossary has some thousand of them
     numbered = fresh.withColumn("_n", F.row_number().over(W.orderBy(*order))).join(F.broadcast(top)).withColumn("id", (F.col("_top") + F.col("_n")).cast("int")).drop("_n", "_top")
     return known.where("id is not null").withColumn("created", F.lit(False)).unionByName(numbered.withColumn("created", F.lit(True)))
 
@@ -114,7 +115,7 @@ def targets(terms: DataFrame, locales: DataFrame, translations: DataFrame) -> Da
     """``source_key, rule_text, entries``: for each term its values by display name and by code, in column order, empty ones left out."""
     names = F.array(F.struct(F.lit(0).alias("o"), F.col("header_display").alias("key")), F.struct(F.lit(1).alias("o"), F.col("header_code").alias("key")))
     keyed = locales.select(F.col("id").alias("locale_id"), "column_order", F.explode(names).alias("k")).where("k.key is not null and k.key <> ''")
-    values = translations.where("value is not null and trim(value) <> ''").join(F.broadcast(keyed), "locale_id")
+    values = translations.where("value is not null and trim(value) <> ''").join(keyed, "locale_id")
     listed = values.groupBy("term_id").agg(F.sort_array(F.collect_list(F.struct("column_order", "locale_id", "k.o", "k.key", "value"))).alias("x"))
     entries = F.transform("x", lambda e: F.struct(e["key"].alias("key"), F.trim(e["value"]).alias("value")))
     return terms.select(F.col("id").alias("term_id"), "source_key", "rule_text").join(listed, "term_id", "left").select("term_id", "source_key", "rule_text", F.coalesce(entries, F.array().cast("array<struct<key:string,value:string>>")).alias("entries"))
@@ -130,3 +131,53 @@ def doubly_keyed(terms: DataFrame, key: str, other: str) -> DataFrame:
 
 def active(terms: DataFrame) -> DataFrame:
     return terms.where(~T.switched_off(F.col("rule_text")))
+
+
+def upsert_translations(translations: DataFrame, new: DataFrame) -> DataFrame:
+    """``term_id, locale_id, value`` with the new values written over the old ones of the same term and locale."""
+    return upsert(translations.select("term_id", "locale_id", "value"), new.select("term_id", "locale_id", "value"), ["term_id", "locale_id"])
+
+
+def created(terms: DataFrame, key: str, rule: str = "") -> DataFrame:
+    """The terms with one more at the end of the order; a key that is there keeps its number and place and gets the rule."""
+    key, rule = key.strip(), rule.strip()
+    if not key:
+        raise ValueError("a term needs a key")
+    one = terms.sparkSession.createDataFrame([(key, rule)], "source_key string, rule_text string").join(F.broadcast(next_sort_order(terms)))  # one row each
+    return imported(terms, one.withColumnRenamed("next_sort_order", "sort_order"), "source_key", replace=False)[0]
+
+
+def updated(terms: DataFrame, term_id: int, key: str, rule: str = "") -> DataFrame:
+    """The terms with key and rule of one replaced; a number that isn't there is an error."""
+    if not key.strip():
+        raise ValueError("a term needs a key")
+    if not terms.where(F.col("id") == term_id).limit(1).count():
+        raise KeyError(f"no such term: {term_id}")
+    here = F.col("id") == term_id
+    return terms.withColumn("source_key", F.when(here, key.strip()).otherwise(F.col("source_key"))).withColumn("rule_text", F.when(here, rule.strip()).otherwise(F.col("rule_text")))
+
+
+def seeded(terms: DataFrame, seed: DataFrame | None) -> tuple[DataFrame, bool]:
+    """The seed where the table is empty and there is one, and whether it was taken."""
+    if seed is None or terms.limit(1).count():
+        return terms, False
+    return imported(terms, seed, "source_key", replace=True)[0], True
+
+
+def in_column_order(locales: DataFrame) -> DataFrame:
+    return locales.orderBy("column_order", "id")
+
+
+def exported(wide: DataFrame, write, use):
+    """Write a glossary to a temporary file, hand its path to ``use``, and take the file away whatever happens."""
+    import os
+    import tempfile
+
+    handle, path = tempfile.mkstemp(suffix=".csv")
+    os.close(handle)
+    try:
+        write(wide, path)
+        return use(path)
+    finally:
+        if os.path.exists(path):
+            os.remove(path)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -23,8 +22,17 @@ def pair_cells(source: DataFrame, target: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, by: list[str | Column], order: list[str | Column]) -> DataFrame:
-    """The first row of each group in a stated order; the order must be total."""
-    return rows.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where("_n = 1").drop("_n")
+    """The first row of each group in a stated order; the order must be total. One row of each group and task is shuffled."""
+    by = [F.col(c) if isinstance(c, str) else c for c in by]
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    least = rows.groupBy(*[c.alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*order)).alias("_r"))
+    return least.select("_r.*")
+
+
+def last_seen(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The last row of each group in a stated order; the order must be total."""
+    most = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)]).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.struct(*order)).alias("_r"))
+    return most.select("_r.*")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str] | None = None) -> DataFrame:
@@ -72,3 +80,30 @@ def with_missing_columns(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
         if name not in rows.columns:
             rows = rows.withColumn(name, F.lit(None).cast(kind))
     return rows
+
+
+def load_by_ledger(memory: DataFrame, ledger: DataFrame, files: DataFrame, pairs: DataFrame, force: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Memory and ledger after a load: files that the ledger lists with the same time are skipped (``force`` takes all), the others replace the rows of their file and, of their story, those of other files; flags of rows that come again are kept.
+
+    ``files``: filename, mtime, story_id. ``pairs``: the rows read from them, with the memory's columns.
+    """
+    due = files if force else unprocessed(files, ledger, ["filename", "mtime"])
+    due = due.select("filename", "mtime", "story_id")
+    new = pairs.join(due.select(F.col("filename").alias("original_file")), "original_file", "left_semi").select(*memory.columns)
+    stale = memory.join(due.select(F.col("filename").alias("original_file")), "original_file", "left_anti")
+    stale = stale.join(due.where("story_id is not null").select("story_id").distinct(), "story_id", "left_anti")
+    flags = memory.where("id is not null and tone_flag is not null").groupBy("id").agg(F.max("tone_flag").alias("_flag"))
+    again = new.join(flags, "id", "left").withColumn("tone_flag", F.coalesce("tone_flag", "_flag")).select(*memory.columns)
+    counts = new.groupBy(F.col("original_file").alias("filename")).agg(F.count(F.lit(1)).cast("int").alias("record_count"))
+    listed = due.join(counts, "filename", "left").select("filename", "story_id", "mtime", F.coalesce("record_count", F.lit(0)).alias("record_count"))
+    kept = ledger.select("filename", "story_id", "mtime", "record_count").join(due.select("filename"), "filename", "left_anti")
+    return stale.select(*memory.columns).unionByName(again), kept.unionByName(listed)
+
+
+def matching_rows(rows: DataFrame, equal: dict[str, str] | None = None, prefix: dict[str, str] | None = None) -> DataFrame:
+    """Rows whose columns equal the given values and begin with the given prefixes."""
+    for c, v in (equal or {}).items():
+        rows = rows.where(F.col(c) == v)
+    for c, v in (prefix or {}).items():
+        rows = rows.where(F.startswith(F.col(c), F.lit(v)))
+    return rows

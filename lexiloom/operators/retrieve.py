@@ -136,3 +136,59 @@ def attach_first(hits: DataFrame, rows: DataFrame, on: list[str], order: list[Co
 
 def similarity(distance: Column) -> Column:
     return F.bround(F.lit(1.0) - distance, 3)
+
+
+def exact_then_nearest(queries: DataFrame, rows: DataFrame, hits: DataFrame, n: int, most: float = 0.8) -> DataFrame:
+    """``query_id, rank, match, similarity, pair_id, source_text, target_text, section_code`` of up to ``n`` examples for each query.
+
+    ``queries``: query_id, source_group, source_text, target_lang (null: any language). ``rows``: the memory without flagged
+    rows. ``hits``: query_id, source_text, distance of the nearest texts. Rows with the query's very text come first, then
+    the texts of hits up to a distance, each with its first row of the query's language, or of the first language in order;
+    a text that is there already isn't taken again.
+    """
+    asked = queries.select("query_id", "source_group", F.col("source_text").alias("_q"), "target_lang")
+    own = rows.select("source_group", "source_text", F.col("target_lang").alias("_lang"), "pair_id", "target_text", "section_code")
+    same = asked.where("target_lang is not null").join(own, (asked["source_group"] == own["source_group"]) & (asked["_q"] == own["source_text"]) & (asked["target_lang"] == own["_lang"]))
+    exact_rows = top_per_query(same.select("query_id", "pair_id", "source_text", "target_text", "section_code"), "query_id", [F.col("pair_id")], n).drop("rank")
+    tier0 = exact_rows.select("query_id", F.lit(0).alias("tier"), F.lit(0.0).alias("distance"), "pair_id", "source_text", "target_text", "section_code")
+    near = hits.where((F.col("distance") <= most) & F.col("source_text").isNotNull()).groupBy("query_id", "source_text").agg(F.min("distance").alias("distance"))
+    near = near.join(exact_rows.select("query_id", "source_text").distinct(), ["query_id", "source_text"], "left_anti")
+    wanted = near.join(asked.drop("_q"), "query_id")
+    found = wanted.join(own, ["source_group", "source_text"]).where(F.col("target_lang").isNull() | (F.col("target_lang") == F.col("_lang")))
+    first = found.groupBy("query_id", "source_text", "distance").agg(F.min_by(F.struct("pair_id", "target_text", "section_code"), F.struct("_lang", "pair_id")).alias("_r"))
+    tier1 = first.select("query_id", F.lit(1).alias("tier"), "distance", F.col("_r.pair_id").alias("pair_id"), "source_text", F.col("_r.target_text").alias("target_text"), F.col("_r.section_code").alias("section_code"))
+    best = top_per_query(tier0.unionByName(tier1), "query_id", [F.col("tier"), F.col("distance"), F.col("pair_id")], n)
+    match = F.when(F.col("tier") == 0, "exact").otherwise("semantic")
+    return best.select("query_id", "rank", match.alias("match"), similarity(F.col("distance")).alias("similarity"), "pair_id", "source_text", "target_text", "section_code")
+
+
+def examples_text(found: DataFrame) -> DataFrame:
+    """``query_id, examples``: the examples of each query as a block of text in order of rank."""
+    told = F.when(F.col("match") == "semantic", F.concat(F.lit(", similarity: "), F.col("similarity").cast("string"))).otherwise("")
+    block = F.concat(
+        F.lit("Example "), F.col("rank").cast("string"), F.lit(" (match: "), F.col("match"), told, F.lit(", section: "), F.coalesce("section_code", F.lit("None")), F.lit("):\n"),
+        F.lit('  Source: "'), F.col("source_text"), F.lit('"\n  Translation: "'), F.coalesce("target_text", F.lit("")), F.lit('"'),
+    )
+    listed = F.array_sort(F.collect_list(F.struct("rank", block.alias("b"))))
+    return found.groupBy("query_id").agg(F.concat(F.lit("[Translation Memory Examples]\n"), F.array_join(F.transform(listed, lambda x: x["b"]), "\n\n")).alias("examples"))
+
+
+def look_up(rows: DataFrame, group: str, query: str | None, labels: list[str], n: int, story: str | None = None, section: str | None = None, flagged: bool = False) -> DataFrame:
+    """Up to ``n`` rows of a group by label, story and section: the query's very text, then texts that hold it; without a query all such rows by id."""
+    held = browse(rows, {"source_group": group, "story_id": story, "section_code": section}, None, [])
+    held = held if flagged else held.where("tone_flag is null")
+    held = held.where(F.col("target_lang").isin(labels)) if labels else held
+    held = held.withColumn("query_id", F.lit(1))
+    if query is None:
+        return top_per_query(held, "query_id", [F.col("pair_id")], n).withColumn("tier", F.lit(2)).drop("query_id")
+    hit = browse(held, {}, query, ["source_text", "target_text"])
+    return tiered([held.where(F.col("source_text") == query), hit.where(~F.coalesce(F.col("source_text") == query, F.lit(False)))], "query_id", ["source_text", "target_lang"], [F.col("pair_id")], n).drop("query_id")
+
+
+def by_mode(mode: str, **tiers):
+    """Which of the given look-ups a mode takes: ``offline``, ``semantic``, or ``auto`` for the first that is given."""
+    if mode == "auto":
+        mode = next((m for m in ("semantic", "offline") if tiers.get(m) is not None), "")
+    if tiers.get(mode) is None:
+        raise ValueError(f"no look-up for mode {mode or 'auto'}")
+    return tiers[mode]()

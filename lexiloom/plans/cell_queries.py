@@ -67,20 +67,6 @@ def layout_figures(spark, d):
     return own.groupBy("group_id", "field").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.is_placeholder_text(F.col("target_text"))).alias("empty"))
 
 
-@query("""select pair_id, case when regexp_matches(trim(regexp_replace(target_lang, '[(（].*$', '')), '^[A-Za-z]{2,3}$') then upper(trim(regexp_replace(target_lang, '[(（].*$', ''))) when lower(trim(regexp_replace(target_lang, '[(（].*$', ''))) = 'japanese' then 'JA' when lower(trim(regexp_replace(target_lang, '[(（].*$', ''))) = 'russian' then 'RU' else null end as code from rag_pairs where target_lang is not null and lower(trim(regexp_replace(target_lang, '[(（].*$', ''))) not in ('korean', 'english', 'chinese', 'taiwanese', 'german', 'french', 'italian', 'spanish', 'portuguese', 'dutch', 'swedish', 'polish', 'turkish', 'vietnamese')""")
-def language_codes(spark, d):
-    """heads and names as codes."""
-    head = F.lower(F.trim(F.split("target_lang", "[(（]")[0]))
-    others = [n for n in T.LANGUAGE_HEADS if n not in ("japanese", "russian")]
-    return pairs(spark, d).where(F.col("target_lang").isNotNull() & ~head.isin(others)).select("pair_id", T.language_code(F.col("target_lang")).alias("code"))
-
-
-@query()
-def language_codes_all(spark, d):
-    """F3, over all languages (the SQL lists two of the names)."""
-    return pairs(spark, d).where("target_lang is not null").select("pair_id", T.language_code(F.col("target_lang")).alias("code"))
-
-
 @query("""
 with v as (select term_id, locale_id, trim(value) as w, trim(regexp_replace(trim(value), '\\([^)]*\\)', '', 'g')) as b from glossary_translations where value is not null),
 p as (select term_id, locale_id, unnest(list_concat([w, b], case when len(string_split_regex(b, '[,/]')) > 1 then list_transform(string_split_regex(b, '[,/]'), lambda x: trim(x)) else [] end)) as term from v)
@@ -141,12 +127,14 @@ def numbered_rows(spark, d):
 
 
 @query("""
-with j as (select 'text {"grade":"' || event_type || '","suggested_fix":"' || user_id || '"} end' as reply, event_id from events)
-select event_id, json_extract_string(regexp_extract(reply, '(\\{.*\\})', 1), '$.grade') as grade, json_extract_string(regexp_extract(reply, '(\\{.*\\})', 1), '$.suggested_fix') as fix from j
+with e as (select event_id, event_type as g, user_id as u, event_id % 4 as k from events)
+select event_id, case k when 2 then 'Needs Revision' when 3 then 'Excellent' else g end as grade, case when k < 2 then u::varchar end as fix from e
 """)
 def salvaged_replies(spark, d):
-    """grade and fix of replies with text around the JSON."""
-    reply = F.concat(F.lit('text {"grade":"'), F.col("event_type"), F.lit('","suggested_fix":"'), F.col("user_id").cast("string"), F.lit('"} end'))
+    """grade and fix of replies with text around the JSON, in a fence, broken, or with the older field."""
+    own = F.concat(F.lit('{"grade":"'), F.col("event_type"), F.lit('","suggested_fix":"'), F.col("user_id").cast("string"), F.lit('"}'))
+    k = F.col("event_id") % 4
+    reply = F.when(k == 0, F.concat(F.lit("text "), own, F.lit(" end"))).when(k == 1, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).when(k == 2, F.regexp_replace(own, "\\}$", "")).otherwise('{"is_excellent":true}')
     return load(spark, d, "events").select("event_id", P.reply_grade(reply).alias("grade"), P.evaluation(reply)["suggested_fix"].alias("fix"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import cells as C
 from ..operators import reports as R
 from ..session import load
 from ..streaming import windows as S
@@ -107,7 +108,9 @@ def span_containment(spark, d):
 def cells_by_sheets(spark, d):
     """Each cell with each sheet; the sheets are a small list."""
     n = load(spark, d, "nation").select("n_name", F.when(F.col("n_name").isin("JAPAN", "CHINA"), "kr").otherwise("us").alias("grp"))
-    sheets = [r[0] for r in load(spark, d, "region").select("r_name").orderBy("r_name").limit(100).collect()]
+    sheets = [r[0] for r in load(spark, d, "region").select("r_name").orderBy("r_name").limit(1_001).collect()]
+    if len(sheets) > 1_000:
+        raise ValueError("more sheets than a workbook has")
     return n.select("n_name", F.explode(F.array(*[F.lit(s) for s in sheets])).alias("r_name"), "grp")
 
 
@@ -128,8 +131,12 @@ def map_with_default(spark, d):
     return load(spark, d, "customer").select("c_custkey", "c_nationkey").join(n, "c_nationkey", "left").select("c_custkey", F.coalesce("n_name", F.lit("unknown")).alias("lang"))
 
 
-@query("""select s_suppkey from supplier where s_nationkey in (select n_nationkey from nation where n_nationkey < 5)""")
+@query("""
+with c as (select split_part(id, '::', 2) as sheet, story_id from rag_pairs where id is not null)
+select distinct sheet from c where story_id = 'story_006' and sheet in (select sheet from c where story_id <> 'story_006') and sheet in (select sheet from sheet_langs) and sheet <> 'JA(일본)'
+""")
 def chosen_sheets(spark, d):
-    """A semi join with a chosen list."""
-    n = load(spark, d, "nation").where(F.col("n_nationkey") < 5).select(F.col("n_nationkey").alias("s_nationkey"))
-    return load(spark, d, "supplier").join(n, "s_nationkey", "left_semi").select("s_suppkey")
+    """Sheets that two workbooks share, on the list, without the source's."""
+    cells = load(spark, d, "rag_pairs").where("id is not null").select(F.split("id", "::")[1].alias("sheet"), "story_id")
+    source = cells.where("story_id = 'story_006'").select("sheet", F.hash("sheet").alias("sheet_ord"))
+    return C.chosen_sheets(source, cells.where("story_id <> 'story_006'"), None, load(spark, d, "sheet_langs"), without="JA(일본)").select("sheet")

@@ -12,19 +12,20 @@ from .common import pairs
 
 QUERIES: dict = {}
 SQL: dict = {}
-# A small glossary for the checks, term and value, by language head
-TERMS = [("thermostat", "DE", "Thermostat"), ("door lock", "DE", "Türschloss"), ("robot vacuum", "DE", "Saugroboter"), ("fridge", "DE", "Kühlschrank"), ("lock", "DE", "Schloss"), ("air purifier", "DE", "Luftreiniger"),
-         ("thermostat", "FR", "thermostat"), ("door lock", "FR", "serrure"), ("robot vacuum", "FR", "robot aspirateur"), ("fridge", "FR", "réfrigérateur"), ("lock", "FR", "verrou"), ("air purifier", "FR", "Purificateur")]
-_TERM_SQL = "t(term, head, value) as (values " + ", ".join(f"('{a}', '{b}', '{c}')" for a, b, c in TERMS) + ")"
+# A small glossary for the checks, as the terms of the tables stand in no text: term, language head, value, rule
+TERMS = [("thermostat", "DE", "Thermostat", None), ("door lock", "DE", "Türschloss", None), ("robot vacuum", "DE", "Saugroboter", "no brackets"), ("fridge", "DE", "Kühlschrank", "disabled"), ("lock", "DE", "Schloss", None), ("air purifier", "DE", "Luftreiniger", None),
+         ("thermostat", "FR", "thermostat", None), ("door lock", "FR", "serrure", None), ("robot vacuum", "FR", "robot aspirateur", "no brackets"), ("fridge", "FR", "réfrigérateur", None), ("lock", "FR", "verrou", None), ("air purifier", "FR", "Purificateur", None)]
+_TERM_SQL = "t(term, head, value, rule) as (values " + ", ".join("(" + ", ".join("null" if x is None else f"'{x}'" for x in row) + ")" for row in TERMS) + ")"
 # the longest first; RE2 has no look-around, so the neighbours are part of the match
 _ALT = "air purifier|robot vacuum|thermostat|door lock|fridge|lock"
-_FOUND = f"""
+FOUND_SQL = f"""
  {_TERM_SQL},
- p as (select pair_id, source_text, target_text, upper(trim(regexp_replace(target_lang, '[(（].*$', ''))) as head from rag_pairs where target_text is not null and source_text is not null),
- m as (select distinct pair_id, head, target_text, lower(w) as term from (
-   select pair_id, head, target_text, unnest(regexp_extract_all(regexp_replace(source_text, '([a-zA-Z0-9])', '\\1', 'g'), '(?i)(?:^|[^a-zA-Z0-9])({_ALT})(?:$|[^a-zA-Z0-9])', 1)) as w from p)),
- f as (select m.pair_id, m.term, m.head, m.target_text, t.value from m join t on t.term = m.term and t.head = m.head)
+ p as (select pair_id, source_text, target_text, section_code, upper(trim(regexp_replace(target_lang, '[(（].*$', ''))) as head from rag_pairs where target_text is not null and source_text is not null),
+ m as (select distinct pair_id, head, target_text, section_code, lower(w) as term from (
+   select pair_id, head, target_text, section_code, unnest(regexp_extract_all(regexp_replace(source_text, '([a-zA-Z0-9])', '\\1', 'g'), '(?i)(?:^|[^a-zA-Z0-9])({_ALT})(?:$|[^a-zA-Z0-9])', 1)) as w from p)),
+ f as (select m.pair_id, m.term, m.head, m.target_text, m.section_code, t.value, t.rule from m join t on t.term = m.term and t.head = m.head)
 """
+_FOUND = FOUND_SQL
 
 
 def query(sql: str | None = None):
@@ -37,52 +38,47 @@ def query(sql: str | None = None):
     return keep
 
 
-def _found(spark, d):
-    rows = pairs(spark, d).where("target_text is not null and source_text is not null").select("pair_id", "source_text", "target_text", T.label_head(F.col("target_lang")).alias("head"))
-    terms = spark.createDataFrame(TERMS, "term string, head string, value string")
-    pattern = X.term_pattern([t for t, _, _ in TERMS])
-    found = rows.select("pair_id", "head", "target_text", F.explode(X.matched_terms(F.col("source_text"), pattern)).alias("term"))
-    return found.join(F.broadcast(terms), ["term", "head"])
+def found_terms(spark, d, *more):
+    """``pair_id, head, target_text`` and further columns with the glossary's rows whose term stands in the source, for their own language."""
+    rows = pairs(spark, d).where("target_text is not null and source_text is not null").select("pair_id", "source_text", "target_text", T.label_head(F.col("target_lang")).alias("_head"), *more)
+    terms = spark.createDataFrame(TERMS, "term string, head string, value string, rule string")
+    return X.term_rows(rows, ["pair_id", "_head", "target_text", *more], "source_text", terms, "term").where("_head = head").drop("_head")
 
 
 @query(f"""with {_FOUND} select head, term, count(*) as n, count(*) filter (where not contains(lower(target_text), lower(value))) as missing from f group by 1, 2""")
 def term_compliance(spark, d):
     """For each term and language how often it stands in a source, and how often its value is missing in the target. The flagship query."""
-    return _found(spark, d).groupBy("head", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.is_missing(F.col("target_text"), F.col("value"))).alias("missing"))
+    return found_terms(spark, d).groupBy("head", "term").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.is_missing(F.col("target_text"), F.col("value"))).alias("missing"))
 
 
 @query(f"""with {_FOUND} select pair_id, term, value from f where not contains(lower(target_text), lower(value))""")
 def mismatch_check(spark, d):
     """F6."""
-    return _found(spark, d).where(X.is_missing(F.col("target_text"), F.col("value"))).select("pair_id", "term", "value")
+    return found_terms(spark, d).where(X.is_missing(F.col("target_text"), F.col("value"))).select("pair_id", "term", "value")
 
 
 @query(f"""with {_FOUND} select pair_id, term, value from f where contains(lower(target_text), lower(value)) and substr(target_text, strpos(lower(target_text), lower(value)), length(value)) <> value""")
 def casing_check(spark, d):
     """the value stands in the target, but its first place is written differently."""
-    return _found(spark, d).where(X.casing_differs(F.col("target_text"), F.col("value"))).select("pair_id", "term", "value")
+    return found_terms(spark, d).where(X.casing_differs(F.col("target_text"), F.col("value"))).select("pair_id", "term", "value")
 
 
-@query(f"""with {_FOUND},
- c as (select pair_id, term, (length(lower(target_text)) - length(replace(lower(target_text), lower(value), ''))) / length(value) as every,
-  (length(lower(target_text)) - length(replace(lower(target_text), '[' || lower(value) || ']', ''))) / (length(value) + 2) as inside from f where target_text not like '%"%' and target_text not like '%「%')
- select pair_id, term, cast(inside as bigint) as inside, cast(every - inside as bigint) as bare from c""")
-def bracket_check(spark, d):
-    """How often a value stands in brackets and without."""
-    opening, closing = T.bracket_pair(F.lit("German"))
-    rows = _found(spark, d).where(~F.contains("target_text", F.lit('"')) & ~F.contains("target_text", F.lit("「")))
-    inside, bare = X.bracket_counts(F.col("target_text"), F.col("value"), opening, closing)
-    return rows.select("pair_id", "term", inside.cast("long").alias("inside"), bare.cast("long").alias("bare"))
-
-
-@query(f"""select pair_id, cast(len(regexp_extract_all(source_text, '(?i){_ALT}')) as bigint) as hits from rag_pairs where source_text is not null and source_group = 'us'""")
+@query(f"""select pair_id, cast(len(regexp_extract_all(source_text, '(?i){_ALT}')) as bigint) as hits from rag_pairs where source_text is not null""")
 def highlight_counts(spark, d):
     """Matches to be marked in each text."""
-    rows = pairs(spark, d).where("source_text is not null and source_group = 'us'")
-    pattern = X.term_pattern([t for t, _, _ in TERMS], boundary=False)
+    rows = pairs(spark, d).where("source_text is not null")
+    pattern = X.term_pattern([t[0] for t in TERMS], boundary=False)
     return rows.select("pair_id", F.size(F.filter(X.text_segments(F.col("source_text"), pattern), lambda s: s["hit"])).cast("long").alias("hits"))
 
 
+@query(f"""select target_lang as sheet, count(*) as cells, cast(sum(len(regexp_extract_all(source_text, '(?i){_ALT}'))) as bigint) as hits from rag_pairs where source_text is not null group by 1""")
+def highlights_by_sheet(spark, d):
+    """Cells and marked matches of each sheet."""
+    pattern = X.term_pattern([t[0] for t in TERMS], boundary=False)
+    hits = F.size(F.filter(X.text_segments(F.col("source_text"), pattern), lambda s: s["hit"])).cast("long")
+    return pairs(spark, d).where("source_text is not null").groupBy(F.col("target_lang").alias("sheet")).agg(F.count(F.lit(1)).alias("cells"), F.sum(hits).alias("hits"))
+
+
 @query("""
 with v as (select t.term_id, t.locale_id, trim(t.value) as value, l.header_display as dis, l.header_code as code, l.column_order as o from glossary_translations t join glossary_locales l on l.id = t.locale_id where t.value is not null and trim(t.value) <> ''),
 k as (select term_id, o, locale_id, 0 as p, dis as key, value from v where dis is not null and dis <> '' union all select term_id, o, locale_id, 1, code, value from v where code is not null and code <> ''),
@@ -123,17 +119,6 @@ def glossary_pivot(spark, d):
     return G.long_to_wide(terms, locales.where(F.col("id").isin(1, 2, 5, 8)), x, _WIDE).drop("rule_text", "sort_order")
 
 
-@query("""
-with w as (select * from (select t.id as term_id, max(x.value) filter (where x.locale_id = 1) as a, max(x.value) filter (where x.locale_id = 2) as b from glossary_terms t left join glossary_translations x on x.term_id = t.id group by 1))
-select term_id, 'a' as locale, a as value from w where a is not null union all select term_id, 'b', b from w where b is not null
-""")
-def glossary_unpivot(spark, d):
-    """Wide columns to long rows."""
-    x = load(spark, d, "glossary_translations")
-    wide = load(spark, d, "glossary_terms").select(F.col("id").alias("term_id")).join(x.groupBy("term_id").agg(*[F.max(F.when(F.col("locale_id") == i, F.col("value"))).alias(n) for n, i in (("a", 1), ("b", 2))]), "term_id", "left")
-    return wide.unpivot("term_id", ["a", "b"], "locale", "value").where("value is not null")
-
-
 @query()
 def glossary_pivot_all(spark, d):
     """The wide table of all locales."""
@@ -141,8 +126,8 @@ def glossary_pivot_all(spark, d):
     return G.all_to_wide(terms, locales, x).drop("rule_text", "sort_order")
 
 
-@query()
-def glossary_unpivot_all(spark, d):
+@query("""select term_id, locale_id, max(value) as value from glossary_translations where value is not null and locale_id is not null and term_id in (select id from glossary_terms) group by 1, 2""")
+def glossary_unpivot(spark, d):
     """The columns of all locales to long rows."""
     terms, x = load(spark, d, "glossary_terms"), load(spark, d, "glossary_translations")
     ids = sorted(r[0] for r in x.select("locale_id").where("locale_id is not null").distinct().collect())

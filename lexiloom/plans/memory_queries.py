@@ -89,7 +89,7 @@ def upsert_snapshot(spark, d):
     """The first load of each key, with later loads written over it and the flag carried along."""
     rows = pairs(spark, d).where("id is not null").select("id", "pair_id", "target_text", "tone_flag")
     old = M.first_seen(rows, ["id"], ["pair_id"])
-    last = M.first_seen(rows, ["id"], [F.desc("pair_id")])
+    last = M.last_seen(rows, ["id"], ["pair_id"])
     new = last.join(old.select("id", F.col("pair_id").alias("p")), "id").where("pair_id <> p").select("id", "pair_id", "target_text").withColumn("tone_flag", F.lit(None).cast("string"))
     return M.upsert(old, new, ["id"], keep=["tone_flag"])
 
@@ -177,8 +177,10 @@ def exact_lookup(spark, d):
     """Up to three earlier or later rows with the same source, group and language."""
     rows = pairs(spark, d)
     q = rows.where("pair_id % 100 = 0 and source_text is not null and target_lang is not null").select(F.col("pair_id").alias("query_id"), "source_group", "source_text", "target_lang")
-    joined = q.join(rows.where("tone_flag is null").select("source_group", "source_text", "target_lang", "pair_id", "target_text"), ["source_group", "source_text", "target_lang"]).where("pair_id <> query_id")
-    return R.top_per_query(joined, "query_id", [F.col("pair_id")], 3).select("query_id", "pair_id", "target_text", "rank")
+    held = rows.where("tone_flag is null").select("source_group", "source_text", "target_lang", "pair_id", "target_text")
+    # one more than wanted, as a query may find itself
+    found = R.exact(q, held, ["source_group", "source_text", "target_lang"], "pair_id", 4).where("pair_id <> query_id").drop("rank")
+    return R.top_per_query(found, "query_id", [F.col("pair_id")], 3).select("query_id", "pair_id", "target_text", "rank")
 
 
 @query("""
@@ -192,12 +194,11 @@ select query_id, tier, pair_id, source_text, rank from (select *, cast(row_numbe
 def keyword_tiers(spark, d):
     """Exact hits, then keyword hits, without repeats; ``%`` and ``_`` in a keyword are ordinary."""
     rows = pairs(spark, d).where("source_text is not null and tone_flag is null").select("pair_id", "source_text", "target_text")
-    exact = keyword = None
-    for i, k in enumerate(["thermostat", "open", "온도", "100%_"], 1):  # a stated list of keywords
-        hit = rows.where(R.contains_text(F.col("source_text"), k)).withColumn("query_id", F.lit(i))
-        same = F.lower("source_text") == k.lower()
-        exact = hit.where(same) if exact is None else exact.unionByName(hit.where(same))
-        keyword = hit.where(~same) if keyword is None else keyword.unionByName(hit.where(~same))
+    # a stated list of keywords; the table is read once, each row with the keywords it holds
+    asked = [F.struct(F.lit(i).alias("query_id"), F.lit(k).alias("k")) for i, k in enumerate(["thermostat", "open", "온도", "100%_"], 1)]
+    held = F.explode(F.filter(F.array(*asked), lambda x: F.contains(F.lower("source_text"), F.lower(x["k"]))))
+    hit = rows.select("*", held.alias("q")).select("pair_id", "source_text", "target_text", "q.query_id", (F.lower("source_text") == F.lower("q.k")).alias("same"))
+    exact, keyword = hit.where("same").drop("same"), hit.where("not same").drop("same")
     return R.tiered([exact, keyword], "query_id", ["source_text", "target_text"], [F.col("pair_id")], 5).select("query_id", "tier", "pair_id", "source_text", "rank")
 
 

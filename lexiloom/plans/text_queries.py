@@ -139,37 +139,31 @@ select id, o.target_text as old_value, n.target_text as new_value from (select *
 def cell_differences(spark, d):
     """Cells whose first and last load differ."""
     rows = pairs(spark, d).where("id is not null")
-    before, after = M.first_seen(rows, ["id"], ["pair_id"]), M.first_seen(rows, ["id"], [F.desc("pair_id")])
+    before, after = M.first_seen(rows, ["id"], ["pair_id"]), M.last_seen(rows, ["id"], ["pair_id"])
     return C.differences(before, after, ["id"], "target_text")
 
 
-@query("""
-select pair_id, len(list_filter(string_split_regex(trim(source_text), '[ \\t\\n]+'), lambda w: w <> '')) as words,
- len(list_filter(list_filter(string_split_regex(trim(target_text), '[ \\t\\n]+'), lambda w: w <> ''), lambda w: list_contains(string_split_regex(source_text, '[ \\t\\n]+'), w))) as same
-from rag_pairs where regexp_full_match(source_text, '[ -~]*') and regexp_full_match(target_text, '[ -~]*')
-""")
-def word_diff(spark, d):
-    """words of the target that stand in the source as they are."""
-    ascii_only = "source_text is not null and target_text is not null and not source_text rlike '[^ -~]' and not target_text rlike '[^ -~]'"
-    return _word_figures(pairs(spark, d).where(ascii_only))
+# white space of Unicode as a pattern of the SQL side
+_WHITE = "\\s\\x{0B}\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}"
 
 
-def _word_figures(rows):
+@query(f"""
+with w as (select pair_id, list_filter(string_split_regex(source_text, '[{_WHITE}\\x{{FEFF}}]+'), lambda w: w <> '') as s, list_filter(string_split_regex(target_text, '[{_WHITE}\\x{{FEFF}}]+'), lambda w: w <> '') as t from rag_pairs where source_text is not null and target_text is not null),
+k as (select pair_id, s, t, list_transform(s, lambda x: lower(x)) as l from w)
+select pair_id, len(s) as words, len(list_filter(t, lambda w: list_contains(s, w))) as same, len(list_filter(t, lambda w: not list_contains(s, w) and list_contains(l, lower(w)))) as cased from k
+""")
+def word_diff(spark, d):
+    """words of the target that stand in the source as they are or in another letter case, over all rows with both texts."""
     changed = P.word_changes(F.col("source_text"), F.col("target_text"))
-    n = F.size(P.words(F.col("source_text"))).cast("long")
-    return rows.select("pair_id", n.alias("words"), F.size(F.filter(changed, lambda x: x["change"] == "same")).cast("long").alias("same"))
-
-
-@query()
-def word_diff_all(spark, d):
-    """F23, over all rows with both texts (the SQL side has no Unicode white space)."""
-    return _word_figures(pairs(spark, d).where("source_text is not null and target_text is not null"))
+    count = lambda kind: F.size(F.filter(changed, lambda x: x["change"] == kind)).cast("long").alias({"same": "same", "case": "cased"}[kind])
+    rows = pairs(spark, d).where("source_text is not null and target_text is not null")
+    return rows.select("pair_id", F.size(P.words(F.col("source_text"))).cast("long").alias("words"), count("same"), count("case"))
 
 
-@query("""select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as html from documents where contains(text, '<') or contains(text, '&')""")
+@query("""select doc_id, replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') as html from documents where text is not null""")
 def html_escaped(spark, d):
     """F29."""
-    rows = load(spark, d, "documents").where(F.contains("text", F.lit("<")) | F.contains("text", F.lit("&")))
+    rows = load(spark, d, "documents").where("text is not null")
     return rows.select("doc_id", T.html_escape(F.col("text")).alias("html"))
 
 
@@ -177,23 +171,17 @@ def html_escaped(spark, d):
 def tone_scan(spark, d):
     """F30, A16."""
     rows = pairs(spark, d).where((T.label_head(F.col("target_lang")) == "CN") & F.col("target_text").isNotNull())
-    particles, informal, formal = R.tone_signals(F.col("target_text"))
+    particles, informal, formal, _ = R.tone_signals(F.col("target_text"))
     return rows.select("pair_id", F.array_join(particles, "").alias("particles"), informal.alias("informal"), formal.alias("formal"))
 
 
-@query("""select pair_id, cast(length(regexp_replace(target_text, '[^A-Z]', '', 'g')) as bigint) as capitals, cast(len(list_filter(string_split_regex(trim(target_text), '[.!?][ ]+'), lambda x: x <> '')) as bigint) as sentences from rag_pairs where regexp_full_match(target_text, '[ -~]*') and trim(target_text) <> ''""")
+@query(f"""
+with t as (select pair_id, regexp_replace(target_text, '^[{_WHITE}]+|[{_WHITE}]+$', '', 'g') as t from rag_pairs where target_text is not null)
+select pair_id, cast(len(regexp_extract_all(t, '\\p{{Lu}}')) as bigint) as capitals, cast(len(list_filter(string_split(regexp_replace(t, '([.!?])[{_WHITE}]+', '\\1' || chr(1), 'g'), chr(1)), lambda x: x <> '')) as bigint) as sentences from t where t <> ''
+""")
 def sentence_figures(spark, d):
-    """sentences and capitals of a text."""
-    return _sentence_figures(pairs(spark, d).where("target_text is not null and not target_text rlike '[^ -~]' and trim(target_text) <> ''"))
-
-
-@query()
-def sentence_figures_all(spark, d):
-    """F10, over all texts that are not blank (the SQL side has no Unicode white space)."""
-    return _sentence_figures(pairs(spark, d).where(F.col("target_text").rlike("(?U)\\S")))
-
-
-def _sentence_figures(rows):
+    """sentences and capitals of all texts that are not blank."""
+    rows = pairs(spark, d).where(F.col("target_text").rlike("(?U)\\S"))
     return rows.select("pair_id", F.regexp_count("target_text", F.lit("\\p{Lu}")).cast("long").alias("capitals"), F.size(X.sentences(F.col("target_text"))).cast("long").alias("sentences"))
 
 

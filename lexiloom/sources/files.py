@@ -50,10 +50,10 @@ def reports(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listing(spark: SparkSession, folder: str, pattern: str = "*.xlsx") -> DataFrame:
-    """``filename, mtime, length`` of the files, without lock files."""
+    """``filename, mtime, length`` of the files in order of their names, without lock files."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.col("modificationTime").cast("double").cast("string").alias("mtime"), "length")
-    return named.where(~F.col("filename").startswith("~$"))
+    return named.where(~F.col("filename").startswith("~$")).orderBy("filename")
 
 
 def sheet_map(spark: SparkSession, text: str) -> DataFrame:

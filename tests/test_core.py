@@ -14,6 +14,7 @@ from lexiloom.functions import text as T
 from lexiloom.operators import cells as C
 from lexiloom.operators import glossary as G
 from lexiloom.operators import memory as M
+from lexiloom.operators import prompts as B
 from lexiloom.operators import reports as R
 from lexiloom.operators import retrieve as V
 from lexiloom.sources import files, workbook
@@ -29,7 +30,17 @@ def test_normal_forms(spark):
     v = F.col("v")
     assert column(spark, ["“A”  Ｂ‘c’\n d", None, ""], T.normalize_text(v)) == ["\"A\" B'c' d", "", ""]
     assert column(spark, ["DE(독일)", "fr （x）", None], T.label_head(v)) == ["DE", "FR", None]
-    assert column(spark, ["Japanese", "DE(독일)", "jpn", "Klingon tongue"], T.language_code(v)) == ["JA", "DE", "JPN", None]
+    names = {"Japanese": "JA", "DE(독일)": "DE", " fr （x） ": "FR", "jpn": "JPN", "English UK": "UK", "english-au": "AU", "Chinese Traditional": "TW", "Portuguese Brazil": "BR", "Thai": "TH", "Indonesian": "ID", "Korean (x)": None, "Klingon tongue": None, "": None}
+    assert column(spark, list(names), T.language_code(v)) == list(names.values())
+    with pytest.raises(Exception, match="no language: Klingon"):
+        column(spark, ["Klingon tongue"], T.language_code(v, strict=True))
+    cased = ["English US", "Indonesian", "Vietnamese", "Korean", "Norwegian", "Thai", "Russian", None]
+    assert [bool(x) for x in column(spark, cased, T.writes_sentence_case(v))] == [True, True, True, False, False, False, True, False]
+    assert column(spark, ["Korean", "ko", "South Korea", "English", None], T.collection_of(v)) == ["kr", "kr", "kr", "us", "us"]
+    assert column(spark, ["ｆｕｌｌ　ｗｉｄｔｈ", unicodedata.normalize("NFD", "조명"), "ﬁ"], T.normalize_text(v)) == ["full width", "조명", "fi"]
+    got = column(spark, ["m:thinking_off", "m:reasoning_low", "m:thinking_on", "gpt-x"], T.model_choice(v), T.provider(v))
+    assert [(tuple(a), b) for a, b in got] == [(("m", 0, None), "default"), (("m", None, "low"), "default"), (("m", None, None), "default"), (("gpt-x", None, None), "gpt")]
+    assert tuple(spark.range(1).select(T.percent(F.lit(1), F.lit(3)), T.percent(F.lit(1), F.lit(0))).first()) == (33, 100)
     assert column(spark, ["story_7", "1234", "x"], T.story_code(v)) == ["007", "1234", None]
     assert column(spark, ["ab가나다", ""], T.token_estimate(v)) == [2, 0]
     assert column(spark, ["A", "z", "AA", "AZ", "ZZ"], T.column_number(v)) == [1, 26, 27, 52, 702]
@@ -51,22 +62,48 @@ def test_longest_terms_only(spark):
     pattern = X.term_pattern(["lock", "door lock", "AI", "C++", "스마트"])
     got = column(spark, ["The door lock and a LOCK", "said AI가 aid", "use C++ now", "스마트홈", None], X.matched_terms(F.col("v"), pattern))
     assert got == [["door lock", "lock"], ["ai"], ["c++"], ["스마트"], []]
+    assert column(spark, ["lock it, 스마트 AI"], X.matched_terms(F.col("v"), X.term_pattern(["lock", "AI"]))) == [["lock", "ai"]]
     terms = spark.createDataFrame([("lock", 1), ("door lock", 2)], "term string, n int")
     texts = spark.createDataFrame([(1, "a door lock"), (2, "lock it"), (3, None)], "id int, text string")
     assert {tuple(r) for r in X.term_rows(texts, "id", "text", terms, "term").select("id", "n").collect()} == {(1, 2), (2, 1)}
 
 
+def test_glossaries_of_any_size_lose_no_row(spark):
+    # one row more than each bound: an automaton instead of a pattern, a shuffled join instead of a broadcast
+    names = [f"term{i}x" for i in range(40)] + ["term7x plus", "C++"]
+    terms = spark.createDataFrame([(n, k, f"{n}-{k}") for n in names for k in range(3)], "term string, lang int, value string")
+    texts = spark.createDataFrame([(1, "a Term7x plus term7x, C++ and aterm9x"), (2, " ".join(names)), (3, None), (4, "")], "id int, text string")
+    run = lambda **bounds: {tuple(r) for r in X.term_rows(texts, "id", "text", terms, "term", **bounds).select("id", "value").collect()}
+    want = run()
+    assert len({v for i, v in want if i == 2}) == 42 * 3 and {v for i, v in want if i == 1} == {f"{n}-{k}" for n in ("term7x plus", "term7x", "C++") for k in range(3)}
+    assert run(max_terms=41) == want and run(max_rows=125) == want and run(max_terms=41, max_rows=125) == want
+
+
 def test_checks(spark):
     df = spark.createDataFrame([("Der [Kühlschrank] und kühlschrank", "Kühlschrank"), ('öffne "Menü > Kühlschrank" dann', "Kühlschrank"), ("nichts", "Kühlschrank"), (None, "x")], "t string, v string")
     t, v = F.col("t"), F.col("v")
-    inside, bare = X.bracket_counts(t, v, F.lit("["), F.lit("]"))
-    rows = df.select(X.is_missing(t, v), X.casing_differs(t, v), inside, bare).collect()
-    assert [tuple(r) for r in rows[:3]] == [(False, False, 1, 1), (False, False, 0, 0), (True, False, 0, 0)]
+    rows = df.select(X.is_missing(t, v), X.casing_differs(t, v)).collect()
+    assert [tuple(r) for r in rows[:3]] == [(False, False), (False, False), (True, False)]
     assert rows[3][0]
+    cases = [
+        ("tap [Home] and home", "Home", "German", "//a_description", None, "missing"), ("tap [Home] and [home]", "Home", "German", "//a_description", None, None), ("tap [Home]", "Home", "German", "//a_title", None, "forbidden"),
+        ("tap Home", "Home", "German", "//a_title", None, None), ("tap [Home]", "Home", "German", "//a_description", "No brackets", "forbidden"), ("tap Home", "Home", "German", "//a_description", "비활성 화", None),
+        ('see "Menu > Home" now', "Home", "German", "//a_disclaimer", None, None), ('see "Menu > Home" now', "Home", "German", "//a_description", None, "missing"), ('"a" Home > "b"', "Home", "German", "//a_disclaimer", None, "missing"),
+        ("「Home」で「A > Home」", "Home", "Japanese", "//a_disclaimer", None, None), ("[Home]", "Home", "Japanese", "//a_description", None, "missing"), ("tap [Home]", "Home (x)", "German", None, None, None), ("nothing", "Home", "German", None, None, None), (None, "Home", "German", None, None, None), ("HomeHome", "Home", "German", None, None, "missing"),
+        ("[Home", "Home", "German", None, None, "missing"), ("x", "(y)", "German", None, None, None),
+    ]
+    df = spark.createDataFrame(cases, "t string, v string, l string, k string, r string, want string")
+    got = df.select("t", X.bracket_issue(F.col("t"), F.col("v"), F.col("l"), F.col("k"), F.col("r")).alias("got"), "want").collect()
+    assert [(r["t"], r["got"]) for r in got] == [(r["t"], r["want"]) for r in got]
     assert column(spark, ['go "A > B" or "C"'], X.navigation_paths(F.col("v"))) == [['"A > B"']]
     assert column(spark, ["Open The App. Then Go"], X.extra_capitals(F.col("v")), X.sentence_case(F.col("v"))) == [(3, "Open the app. Then go")]
     assert column(spark, ["Open The App. then go."], X.sentence_case(F.col("v"))) == ["Open the app. Then go."]
-    assert column(spark, ["use smartthings and ai tools"], X.restore_casing(F.col("v"), ["SmartThings", "AI"])) == ["use SmartThings and AI tools"]
+    assert column(spark, ["use doravemi and ai tools, paid ai한"], X.restore_casing(F.col("v"), ["DoraVemi", "AI"])) == ["use DoraVemi and AI tools, paid AI한"]
+    told = column(spark, ["Open the App. 12. tap now! Done", "조명. Ok", " ", None], X.sentence_case_report(F.col("v"), F.lit("German Germany")))
+    assert [[tuple(x) for x in r] if r is not None else None for r in told] == [[(1, False, 1), (3, False, 0), (4, True, 0)], [(1, False, 0), (2, True, 0)], None, None]
+    assert column(spark, ["Open the App. tap AI", "Open the app."], X.sentence_case_fix(F.col("v"), F.lit("German"), ["AI"]), X.sentence_case_fix(F.col("v"), F.lit("Korean"))) == [("Open the app. Tap AI", None), (None, None)]
+    entries = spark.createDataFrame([([("french", "1"), ("french canada", "2"), ("fr", "3")],)], "e array<struct<key:string,value:string>>")
+    assert tuple(entries.select(*[X.longest_contained(F.col("e"), F.lit(w)) for w in ("French Canada", "French Canada West", "French", "Dutch")]).first()) == ("2", "2", "1", None)
     assert column(spark, ["tap [ Home ] 「Home」"], X.without_brackets(F.col("v"), ["Home"])) == ["tap Home Home"]
     assert column(spark, ["Home (x), Away"], X.highlight_terms(F.col("v"))) == [["Home (x), Away", "Home , Away", "Home", "Away"]]
     segs = column(spark, ["a lock b"], X.text_segments(F.col("v"), X.term_pattern(["lock"])))
@@ -101,10 +138,11 @@ def test_figures_of_all_rows_equal_brute_force(spark, tmp_path):
     langs = ["German", "vietnamese (x)", "DE(독일)", "Japanese", "Klingon tongue", None, "taiwanese", "jpn"]
     d = tables(spark, tmp_path, rag_pairs=([(i, s, t, n) for i, ((s, t), n) in enumerate(zip(texts, langs))], "pair_id long, source_text string, target_text string, target_lang string"))
     run = lambda name: {tuple(r) for r in registry.queries()[name](spark, d).collect()}
-    assert run("word_diff_all") == {(i, len(s.split()), sum(w in s.split() for w in t.split())) for i, (s, t) in enumerate(texts) if s is not None and t is not None}
+    low = lambda s: [w.lower() for w in s.split()]
+    assert run("word_diff") == {(i, len(s.split()), sum(w in s.split() for w in t.split()), sum(w not in s.split() and w.lower() in low(s) for w in t.split())) for i, (s, t) in enumerate(texts) if s is not None and t is not None}
     sentences = lambda t: [x for x in re.split(r"(?<=[.!?])\s+", t.strip()) if x]
-    assert run("sentence_figures_all") == {(i, sum(unicodedata.category(c) == "Lu" for c in t), len(sentences(t))) for i, (_, t) in enumerate(texts) if t and t.strip()}
-    assert run("language_codes_all") == {(0, "DE"), (1, "VN"), (2, "DE"), (3, "JA"), (4, None), (6, "TW"), (7, "JPN")}
+    assert run("sentence_figures") == {(i, sum(unicodedata.category(c) == "Lu" for c in t), len(sentences(t))) for i, (_, t) in enumerate(texts) if t and t.strip()}
+    assert run("language_codes") == {(0, "DE"), (1, "VN"), (2, "DE"), (3, "JA"), (4, None), (6, "TW"), (7, "JPN")} - {(1, "VN")} | {(1, None)}
 
 
 def test_all_locales_wide_and_long(spark, tmp_path):
@@ -115,7 +153,7 @@ def test_all_locales_wide_and_long(spark, tmp_path):
     wide = registry.queries()["glossary_pivot_all"](spark, d)
     assert wide.columns == ["term_id", "source_key", "한국어", "French#2", "french#3", "#4", "독어_독일", "leer"]
     assert {tuple(r) for r in wide.collect()} == {(7, "K", "가", "a", "b", "c", "", ""), (8, "L", "", "", "", "", "d", "")}
-    assert {tuple(r) for r in registry.queries()["glossary_unpivot_all"](spark, d).collect()} == {v for v in values if v[2]}
+    assert {tuple(r) for r in registry.queries()["glossary_unpivot"](spark, d).collect()} == {v for v in values if v[2]}
 
 
 def test_glossary_round_trip(spark, tmp_path):
@@ -240,8 +278,15 @@ def test_reports(spark):
     lines = R.lines(texts, "id", "text")
     assert [tuple(r) for r in R.blocks(lines, "id", "line", F.col("value").startswith("---")).orderBy("first").collect()] == [(1, 2, 3), (1, 4, 6)]
     assert {r[0] for r in lines.select(R.grade_of(F.col("value"))).collect()} == {None, "A", "B"}
-    j = column(spark, ["수용함", "보류", "reject", "edited", None], R.judgment(F.col("v")))
-    assert j == ["accepted", "pending", "rejected", "modified", "other"]
+    said = {"감수안 수용 비추천, 미반영": "reject", "부분 수용": "partial", "유지": "no_apply", "유지함": "conditional_or_other", "추가 적용 없음": "no_apply", "번역사 의견 전체 반영": "accept", "수용.": "accept", "수용": "conditional_or_other", "수용 가능하나 미반영": "reject"}
+    assert column(spark, [*said, None], R.judgment(F.col("v"))) == [*said.values(), "conditional_or_other"]
+    assert [[tuple(x) for x in r] for r in column(spark, ["[1] DE(독일) | 처리 완료 셀: 12\n[2] FR | 처리 완료 셀: 3", "none"], R.scope_counts(F.col("v")))] == [[("DE(독일)", 12), ("FR", 3)], []]
+    marks = (F.col("value") == "# A", F.col("value").startswith("# "))
+    doc = R.lines(spark.createDataFrame([(1, "x\n# A\ny\nz\n# B\nw"), (2, "# A\nq"), (3, "no")], "id int, text string"), "id", "text")
+    assert {(r["id"], r["value"]) for r in R.between(doc, "id", "line", *marks).collect()} == {(1, "y"), (1, "z"), (2, "q")}
+    cells = spark.createDataFrame([("s", "a", "a", None), ("s", "a", "b", "c"), ("s", None, "", ""), ("s", "a", None, None), ("t", "a", None, None)], "sheet string, cur string, rev string, com string")
+    assert [tuple(r) for r in R.review_figures(cells, "sheet", F.col("cur"), F.col("rev"), F.col("com")).collect()] == [("s", 3, 1, 1)]
+    assert column(spark, [5, 7, 6], R.average_tokens(F.col("v"), F.lit(2)), kind="int") == [2, 4, 3]
     table = spark.createDataFrame([("s", 2, "a|b"), ("s", 1, "x\ny")], "g string, n int, v string")
     assert R.markdown_table(table, "g", ["n", "v"], ["n"]).first()["markdown"] == "| n | v |\n| --- | --- |\n| 1 | x y |\n| 2 | a\\|b |"
 
@@ -269,9 +314,20 @@ def test_streams_equal_batches(spark, tmp_path):
     want = {tuple(r) for r in S.tumbling(S.at_utc(df), "1 hour", ["event_type"]).collect()}
     assert {tuple(r) for r in spark.table("w1").collect()} == want
     assert sum(p["rows"] for p in S.progress_of(q)) == 60
-    q = S.sessions(stream, "10 minutes", ["user_id"], late="1 hour").writeStream.outputMode("append").format("memory").queryName("w2").trigger(availableNow=True).start()
+    # in order of time no event is late, so every closed session is written
+    ordered = str(tmp_path / "ordered")
+    for k in range(3):
+        df.where(F.floor(F.col("event_id") / 20) == k).coalesce(1).write.mode("append").parquet(ordered)
+    q = S.sessions(S.event_stream(spark, ordered, "*.parquet", per_trigger=1), "10 minutes", ["user_id"], late="1 hour").writeStream.outputMode("append").format("memory").queryName("w2").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    every = S.sessions(S.at_utc(df), "10 minutes", ["user_id"])
+    latest = S.at_utc(df).agg(F.max("ts")).first()[0]
+    # a session is written once the watermark, an hour behind the latest event, has passed its end
+    closed = {tuple(r) for r in every.where(F.col("end") <= F.lit(latest) - F.expr("interval 1 hour")).collect()}
+    assert {tuple(r) for r in spark.table("w2").collect()} == closed and len(closed) > 20
+    q = S.usage_counters(stream, ["event_type"]).writeStream.outputMode("complete").format("memory").queryName("w3").trigger(availableNow=True).start()
     q.awaitTermination(120)
-    assert {tuple(r) for r in spark.table("w2").collect()} <= {tuple(r) for r in S.sessions(S.at_utc(df), "10 minutes", ["user_id"]).collect()}
+    assert {tuple(r) for r in spark.table("w3").collect()} == {("a", 30, 870.0), ("b", 30, 900.0)}
     # upserts by batch into a snapshot on disk, swapped whole
     state = {"at": None, "n": 0}
 
@@ -288,6 +344,66 @@ def test_streams_equal_batches(spark, tmp_path):
     assert read().count() == 60 and state["n"] == 3
 
 
+def test_load_by_ledger(spark):
+    memory = spark.createDataFrame([("a::DE::1", "s1", "a", "old", "f"), ("b::DE::1", "s1", "b", "stale", None), ("c::DE::1", "s2", "c", "same", None), ("d::DE::1", None, "d", "kept", None)], "id string, story_id string, original_file string, t string, tone_flag string")
+    ledger = spark.createDataFrame([("a", "s1", "1", 1), ("b", "s1", "1", 1), ("c", "s2", "1", 1)], "filename string, story_id string, mtime string, record_count int")
+    files = spark.createDataFrame([("a", "2", "s1"), ("c", "1", "s2"), ("e", "1", None)], "filename string, mtime string, story_id string")
+    new = spark.createDataFrame([("a::DE::1", "s1", "a", "new", None), ("a::DE::2", "s1", "a", "more", None), ("c::DE::1", "s2", "c", "other", None)], memory.schema)
+    rows, book = M.load_by_ledger(memory, ledger, files, new)
+    assert {(r["id"], r["t"], r["tone_flag"]) for r in rows.collect()} == {("a::DE::1", "new", "f"), ("a::DE::2", "more", None), ("c::DE::1", "same", None), ("d::DE::1", "kept", None)}
+    assert {tuple(r) for r in book.collect()} == {("a", "s1", "2", 2), ("b", "s1", "1", 1), ("c", "s2", "1", 1), ("e", None, "1", 0)}
+    again, same = M.load_by_ledger(rows, book, files, new)
+    assert {tuple(r) for r in again.collect()} == {tuple(r) for r in rows.collect()} and {tuple(r) for r in same.collect()} == {tuple(r) for r in book.collect()}
+    forced, _ = M.load_by_ledger(rows, book, files, new, force=True)
+    assert {(r["id"], r["t"]) for r in forced.collect()} == {("a::DE::1", "new"), ("a::DE::2", "more"), ("c::DE::1", "other"), ("d::DE::1", "kept")}
+
+
+def test_examples_by_tiers(spark):
+    rows = spark.createDataFrame([(1, "us", "Open", "DE", "Öffnen", "s1"), (2, "us", "Open it", "DE", "Öffne es", "s2"), (3, "us", "Open it", "AT", "Mach auf", "s3"), (4, "us", "Shut", "FR", "Fermer", "s4"), (5, "kr", "Open", "DE", "x", "s5")], "pair_id int, source_group string, source_text string, target_lang string, target_text string, section_code string")
+    asked = spark.createDataFrame([(1, "us", "Open", "DE"), (2, "us", "Close", None), (3, "us", "none", "IT")], "query_id int, source_group string, source_text string, target_lang string")
+    hits = spark.createDataFrame([(1, "Open", 0.0), (1, "Open it", 0.2), (1, "Shut", 0.3), (2, "Open it", 0.25), (2, "Shut", 0.9), (3, "Open", 0.1)], "query_id int, source_text string, distance double")
+    found = V.exact_then_nearest(asked, rows, hits, 2)
+    assert sorted(tuple(r)[:5] for r in found.collect()) == [(1, 1, "exact", 1.0, 1), (1, 2, "semantic", 0.8, 2), (2, 1, "semantic", 0.75, 3)]
+    text = {r["query_id"]: r["examples"] for r in V.examples_text(found).collect()}
+    assert text[1] == '[Translation Memory Examples]\nExample 1 (match: exact, section: s1):\n  Source: "Open"\n  Translation: "Öffnen"\n\nExample 2 (match: semantic, similarity: 0.8, section: s2):\n  Source: "Open it"\n  Translation: "Öffne es"'
+    assert V.by_mode("auto", offline=lambda: 1, semantic=None) == 1 and V.by_mode("offline", offline=lambda: 2) == 2
+    with pytest.raises(ValueError):
+        V.by_mode("semantic", offline=lambda: 1)
+
+
+def test_prompts_and_calls(spark):
+    df = spark.createDataFrame([("a", " "), ("b", "rule")], "t string, r string")
+    assert [r[0] for r in df.select(B.assembled(F.col("t"), F.col("r"), F.lit(None).cast("string"), F.lit("end "))).collect()] == ["a\n\nend", "b\n\nrule\n\nend"]
+    seen = []
+
+    def model(texts):
+        if "bad" in texts:
+            raise RuntimeError("no answer")
+        return [t.upper() for t in texts]
+
+    texts = spark.createDataFrame([(t,) for t in ["a", None, "b", "bad", "c"]], "v string").coalesce(1)
+    assert [r[0] for r in texts.select(B.called(F.col("v"), model, "string", batch=2)).collect()] == ["A", None, "B", None, None]
+    assert seen == []
+    status = column(spark, ['{"grade":"Needs Revision"}', '{"is_excellent":false}', '{"grade":"Excellent"}', "{broken 오류", "fine", "", "[AI QA 오류] x", '{"grade":"Excellent","suggested_fix":"y"}'], P.item_status(F.lit(""), F.lit(""), F.col("v"))["status"])
+    assert status == ["fail", "fail", "pass", "fail", "pass", "pass", "fail", "warn"]
+
+
+def test_glossary_changes(spark):
+    terms = spark.createDataFrame([(1, "A", "r", 0)], "id int, source_key string, rule_text string, sort_order int")
+    assert {tuple(r) for r in G.created(terms, " B ", "x").collect()} == {(1, "A", "r", 0), (2, "B", "x", 1)}
+    assert {tuple(r) for r in G.created(terms, "A", "x").collect()} == {(1, "A", "x", 0)}
+    assert {tuple(r) for r in G.updated(terms, 1, "C").collect()} == {(1, "C", "", 0)}
+    with pytest.raises(KeyError):
+        G.updated(terms, 9, "C")
+    with pytest.raises(ValueError):
+        G.created(terms, " ")
+    assert G.seeded(terms, terms.drop("id"))[1] is False and G.seeded(terms.limit(0), None)[1] is False and G.seeded(terms.limit(0), terms.drop("id"))[1] is True
+    paths = []
+    with pytest.raises(RuntimeError):
+        G.exported(terms, lambda df, p: open(p, "w").write("x"), lambda p: paths.append(p) or (_ for _ in ()).throw(RuntimeError()))
+    assert paths and not os.path.exists(paths[0])
+
+
 def test_core_stands_without_the_optional_package():
     import re
     from pathlib import Path
