@@ -22,6 +22,7 @@ def get_session(app: str = "lexiloom", master: str | None = None, partitions: in
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     if partitions:
@@ -54,20 +55,25 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The checkpoint folder all executors share.
 
-    It is read from ``spark.checkpoint.dir``. Only where that setting is absent (local tests) a
-    temporary folder is made and set.
+    It is read from ``spark.checkpoint.dir``. Where that setting is absent, a session within one process (tests,
+    bench) gets a temporary folder that goes when the process ends; a cluster has no folder that all executors
+    are known to share, so there it is an error.
     """
     given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if given:
-        if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        if current.isEmpty():
             spark.sparkContext.setCheckpointDir(given)
         return given
-    current = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if current.isEmpty():
-        made = tempfile.mkdtemp(prefix="lexiloom-ckpt-")
-        spark.sparkContext.setCheckpointDir(made)
-        return made
-    return current.get()
+    if not current.isEmpty():
+        return current.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    made = tempfile.mkdtemp(prefix="lexiloom-ckpt-")
+    atexit.register(shutil.rmtree, made, ignore_errors=True)
+    spark.sparkContext.setCheckpointDir(made)
+    return made
 
 
 def cut(df: DataFrame) -> DataFrame:

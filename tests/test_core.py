@@ -404,6 +404,22 @@ def test_glossary_changes(spark):
     assert paths and not os.path.exists(paths[0])
 
 
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from lexiloom import session
+
+    said = []
+    gone = N(isEmpty=lambda: True)
+    context = lambda master: N(getConf=lambda: N(get=lambda k, d: None), _jsc=N(sc=lambda: N(getCheckpointDir=lambda: gone)), master=master, setCheckpointDir=said.append)
+    fake = lambda master: N(sparkContext=context(master), conf=N(get=lambda k, d: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake("spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_dir(fake("local-cluster[2,1,1024]"))
+    assert session.shared_dir(fake("local[4]")) == said[0]
+
+
 def test_core_stands_without_the_optional_package():
     import re
     from pathlib import Path
