@@ -22,8 +22,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import compose
 from ..session import cut
-from .forms import INVISIBLE, LOOKALIKE_FROM, LOOKALIKE_TO, ODD_SPACE, compose
+from .forms import INVISIBLE, LOOKALIKE_FROM, LOOKALIKE_TO
 
 ALPHABETS = "[\\p{IsCyrillic}\\p{IsGreek}]"
 TOKEN = "[\\p{L}\\p{M}]+"

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.text import compose
+
 # Letters of Cyrillic and Greek that look like Latin ones, position by position.
 LOOKALIKE_FROM = "асеорхукіјѕԁһԛԝүАВЕКМНОРСТУХІЈЅԚԜҮαονρικυχΑΒΕΖΗΙΚΜΝΟΡΤΥΧ"
 LOOKALIKE_TO = "aceopxykijsdhqwyABEKMHOPCTYXIJSQWYaovpikuxABEZHIKMNOPTYX"
@@ -15,11 +17,6 @@ INVISIBLE = "\\u00AD\\u034F\\u061C\\u115F\\u1160\\u17B4\\u17B5\\u180B-\\u180F\\u
 ODD_SPACE = "\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
 
 
-def compose(c: Column) -> Column:
-    """Unicode NFKC inside the JVM, by the ICU library that Spark ships for its collations; ``c`` must not be null."""
-    return F.call_function("reflect", F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), c, F.lit(True))
-
-
 def skeleton(c: Column) -> Column:
     """A comparison form: NFKC, no invisible marks, look-alike letters as their Latin twins, lower case.
 

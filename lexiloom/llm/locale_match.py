@@ -24,11 +24,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNMATCHED = "unmatched"
-#: The reference list is broadcast; more rows than this are refused.
-MAX_REFERENCE = 5_000
+#: The reference list is broadcast; a longer one is refused, to be matched in parts.
+MAX_REFERENCE = 100_000
+#: Up to so many rows exact names are answered in the JVM by a literal map; longer lists are looked up in the index.
+MAX_LITERALS = 1_000
 LONGEST = 64
 
-# English names of countries by ISO 3166 code.
+# English names of countries by ISO 3166 code.
 COUNTRY = {
     "KR": ["korea", "south korea", "republic of korea"], "US": ["usa", "united states", "united states of america", "america"],
     "GB": ["uk", "united kingdom", "great britain", "britain", "england"], "AU": ["australia"], "FR": ["france"],
@@ -38,7 +40,7 @@ COUNTRY = {
     "TR": ["turkey", "turkiye"], "RU": ["russia", "russian federation", "россия"], "CN": ["china", "中国", "中國"],
     "TW": ["taiwan", "台湾", "臺灣", "台灣"], "JP": ["japan", "日本"], "VN": ["vietnam", "viet nam", "việt nam"],
 }
-# Names of languages by ISO 639 code, in English, in Korean and in the language itself.
+# Names of languages by ISO 639 code, in English, in Korean and in the language itself.
 LANGUAGE = {
     "ko": ["korean", "한국어", "한글", "국문", "한국말", "조선어"], "en": ["english", "영어", "영문"],
     "fr": ["french", "francais", "불어", "프랑스어", "불문"], "de": ["german", "deutsch", "독어", "독일어", "독문"],
@@ -49,7 +51,7 @@ LANGUAGE = {
     "ja": ["japanese", "日本語", "일어", "일본어", "일문"], "vi": ["vietnamese", "tieng viet", "tiếng việt", "월남어", "베트남어"],
     "zh": ["chinese", "中文", "중국어", "중문", "汉语", "漢語"],
 }
-# Further names that mean one entry by themselves.
+# Further names that mean one entry by themselves.
 NAMED = {
     "zh_CN": ["simplified chinese", "chinese simplified", "简体中文", "中文简体", "简体", "간체", "중국어 간체", "간체 중국어", "간체자", "중국어 간체자", "zh hans"],
     "zh_TW": ["traditional chinese", "chinese traditional", "繁體中文", "繁体中文", "正體中文", "번체", "중국어 번체", "번체 중국어", "번체자", "zh hant"],
@@ -59,7 +61,7 @@ NAMED = {
     "es_ES": ["european spanish", "castilian spanish"], "pt_BR": ["brazilian portuguese", "brazilian"], "pt_PT": ["european portuguese", "유럽 포어", "유럽 포르투갈어", "유럽식 포르투갈어"],
     "tr_TR": ["터키"],
 }
-# Languages and countries that are often typed but stand on no such list.
+# Languages and countries that are often typed but stand on no such list.
 ELSEWHERE = [
     "danish", "denmark", "dansk", "덴마크", "덴마크어", "finnish", "finland", "suomi", "핀란드", "핀란드어", "norwegian", "norway", "norsk", "노르웨이", "노르웨이어",
     "ukrainian", "ukraine", "우크라이나", "우크라이나어", "romanian", "romania", "루마니아", "루마니아어", "greek", "greece", "그리스", "그리스어", "czech", "czechia", "체코", "체코어",
@@ -70,7 +72,7 @@ ELSEWHERE = [
     "catalan", "basque", "galician", "latin", "esperanto", "mongolian", "몽골", "몽골어", "kazakh", "카자흐스탄", "singapore", "싱가포르", "philippines", "필리핀", "argentina", "아르헨티나",
     "chile", "칠레", "colombia", "콜롬비아", "peru", "egypt", "이집트", "hong kong", "홍콩", "new zealand", "뉴질랜드", "luxembourg", "룩셈부르크", "albanian", "albania", "georgia", "armenian",
 ]
-# Country codes of the places above, as they head a sheet name such as RO(...).
+# Country codes of the places above, as they head a sheet name such as RO(...).
 ELSEWHERE_CODE = {
     "덴마크": "dk", "핀란드": "fi", "노르웨이": "no", "우크라이나": "ua", "루마니아": "ro", "그리스": "el", "체코": "cz", "헝가리": "hu", "크로아티아": "hr", "세르비아": "rs",
     "슬로바키아": "sk", "슬로베니아": "si", "불가리아": "bg", "태국": "th", "인도네시아": "id", "말레이시아": "my", "인도": "in", "이스라엘": "il", "스위스": "ch", "아일랜드": "ie",
@@ -264,6 +266,8 @@ class Matcher:
 
     def code(self, c: Column, exact: str = "sheet") -> Column:
         """The code meant by ``c``; exact names are answered by a literal map and never reach Python."""
+        if len(self.rows) > MAX_LITERALS:
+            return self._udf(c)
         known = self._literal(exact)[c]
         return F.coalesce(known, self._udf(F.when(known.isNull(), c)))
 
