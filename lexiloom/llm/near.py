@@ -1,22 +1,15 @@
-"""Near-duplicates with small edits: Golay-code fuzzy hashing of sentence fingerprints, then an exact check.
+"""Near-duplicates with small edits: Golay-code fuzzy hashing of sentence fingerprints, and the sets of shingles for the rest.
 
 Each distinct text is one node, whatever its number of copies. Its sentences (or lines) get fingerprints of
-three Golay segments: signed sums over the sentence's words, weighted by the square of the corpus-wide inverse
+two Golay segments: signed sums over the sentence's words, weighted by the square of the corpus-wide inverse
 document frequency; a word of one text alone can be shared with no other and weighs nothing. A segment is
-decoded to the indices of the codewords near it. A node has two kinds of keys:
+decoded to the indices of the codewords near it. The keys of a node are, for each sentence, the own index of one of
+its two segments with each index near the other, and the sentence's rarest word: few errors by the pigeonhole
+principle leave one segment right and the other near. Nodes that share a key of at most ``hot`` nodes are pairs.
 
-- for each sentence, the own index of one of its first two segments with each index near the other, and the
-  sentence's rarest word: few errors by the pigeonhole principle leave one segment right and the other near;
-- for texts with an edit in every sentence, each sentence is cut in two at the inner word with the least hash,
-  so that an edit leaves one side as it is, and the own indices of sides of two sentences make a key, with
-  the rarest word of either sentence. Sides are paired with the next ``SIDES`` in order of their hash.
-
-Nodes that share a key are joined and pairs verified by the exact Jaccard similarity of their word shingles.
-A key held by more than ``hot`` nodes is split by a further segment: the side of another sentence. Where the
-key's own sentences are a large part of one of the texts, the pair is joined as it is. Nothing is capped or
-dropped; keys have 64 bits, so that chance meetings don't grow with the corpus.
-
-Recall is measured, not proven: a pair whose every side and sentence is edited may share no key (see README).
+Texts with an edit in every sentence may share no key, and a key of more nodes makes no pairs. So all pairs are also
+looked for by their shingles, by bounds that no near pair exceeds (``overlap``): the result is exact, and ``hot``
+decides about the work only. All pairs are verified by the exact Jaccard similarity of their word shingles.
 
 Defined cases: null texts and texts without words take no part; texts of fewer words than a shingle are
 compared by all their words as one shingle; equal texts are one node and never a pair; very long texts are
@@ -35,17 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from . import golay
+from . import golay, overlap
 from .forms import skeleton
+from .overlap import mix
 
-SEGMENTS = 3
+SEGMENTS = 2
 BITS = SEGMENTS * golay.LENGTH
-#: A key with more nodes is split.
+#: A key with more nodes makes no pairs by itself: those are left to the sets.
 HOT = 200
-#: How often a hot key is split by a further sentence before its nodes are joined.
-SPLITS = 2
-#: Sides with which a side makes keys.
-SIDES = 8
 #: Counters of words: document frequencies are kept by hash, so that what is sent round has one size for all corpora.
 COUNTERS = 1 << 20
 PART = re.compile(r"(?<=[.!?。！？])\s*|[\n\r]+")
@@ -71,14 +61,6 @@ def split_parts(line: str) -> list[list[str]]:
     return [ws for p in PART.split(line) if (ws := WORD.findall(p))]
 
 
-def _mix(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """One 64-bit hash of two."""
-    with np.errstate(over="ignore"):
-        h = (x ^ (y * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        h ^= h >> np.uint64(32)
-        return h * np.uint64(0xD6E8FEB86659FD93)
-
-
 class Fingerprints:
     """Weighted bits of words, remembered up to a bound."""
 
@@ -89,7 +71,6 @@ class Fingerprints:
     def clear(self) -> None:
         self.at: dict[str, int] = {}
         self.bits: list[np.ndarray] = []
-        self.hash: list[int] = []
         self.rare: list[int] = []
         self.table = None
 
@@ -104,88 +85,50 @@ class Fingerprints:
                 weight = 0 if n < 2 else round(16 * np.log(1.0 + self.total / n) ** 2)
                 bits = np.unpackbits(np.frombuffer(xxhash.xxh3_128_digest(w), np.uint8))[:BITS].astype(np.int64) * 2 - 1
                 self.bits.append(bits * weight)
-                self.hash.append(h)
                 self.rare.append((min(n, 0x7FFFFFFF) << 32 | h >> 32) if n > 1 else int(_FEW))
                 self.table = None
             out.append(i)
         return out
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def arrays(self) -> tuple[np.ndarray, np.ndarray]:
         if self.table is None:
-            self.table = np.array(self.bits), np.array(self.hash, np.uint64), np.array(self.rare, np.uint64)
+            self.table = np.array(self.bits), np.array(self.rare, np.uint64)
         return self.table
 
 
 class Parts:
-    """Fingerprints of the sentences of some nodes and of the two sides of each."""
+    """Fingerprints of the sentences of some nodes."""
 
     def __init__(self, prints: Fingerprints, nodes: list[int], sentences: list[list[list[str]]]):
-        flat = [(n, j, ws) for n, own in zip(nodes, sentences) for j, ws in enumerate(own)]
-        self.node = np.array([n for n, _, _ in flat], np.int64)
-        self.number = np.array([j for _, j, _ in flat], np.int64)
-        size = np.array([len(ws) for _, _, ws in flat])
-        self.words = np.array([sum(map(len, own)) for own in sentences for _ in own])  # of the whole node
-        at = np.array([i for _, _, ws in flat for i in prints.index(ws)])
-        bits, hashes, rare = prints.arrays()
+        flat = [(n, ws) for n, own in zip(nodes, sentences) for ws in own]
+        self.node = np.array([n for n, _ in flat], np.int64)
+        size = np.array([len(ws) for _, ws in flat])
+        at = np.array([i for _, ws in flat for i in prints.index(ws)])
+        bits, rare = prints.arrays()
         start = np.concatenate([[0], np.cumsum(size)[:-1]])
-        end = start + size
-        sums = np.zeros((len(at) + 1, BITS), np.int64)
-        np.cumsum(bits[at], axis=0, out=sums[1:])
-        # the cut: the inner word with the least hash; sentences of less than five words have one side
-        place = np.arange(len(at))
-        inner = (place >= np.repeat(start + 2, size)) & (place < np.repeat(end - 2, size))
-        h = np.where(inner, hashes[at], _FEW)
-        least = inner & (h == np.repeat(np.minimum.reduceat(h, start), size))
-        cut_at = np.full(len(flat), -1)
-        owner = np.repeat(np.arange(len(flat)), size)
-        cut_at[owner[least][::-1]] = place[least][::-1]  # the first of equal ones
-        two = cut_at >= 0
-        self.whole = self._segments(sums, start, end)
-        self.rare = np.minimum.reduceat(rare[at], start)
-        left, right = np.where(two, cut_at + 1, end), np.where(two, cut_at, start)
-        self.side_of = np.concatenate([np.arange(len(flat)), np.flatnonzero(two)])
-        self.side_size = np.concatenate([left - start, (end - right)[two]])
-        sides = np.concatenate([self._segments(sums, start, left), self._segments(sums, right[two], end[two])])
-        own = golay.index(sides.astype(np.uint32)).astype(np.uint64)
-        raw = own[:, 0] << np.uint64(24) | own[:, 1] << np.uint64(12) | own[:, 2]
-        self.side = _mix(raw, np.full(len(raw), 7, np.uint64))
-        self.size = size
-
-    @staticmethod
-    def _segments(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        up = (sums[end] - sums[start]) > 0
+        up = np.add.reduceat(bits[at], start, axis=0) > 0
         powers = 1 << np.arange(golay.LENGTH)
-        return np.stack([up[:, k * golay.LENGTH : (k + 1) * golay.LENGTH] @ powers for k in range(SEGMENTS)], axis=1)
+        self.segments = np.stack([up[:, k * golay.LENGTH : (k + 1) * golay.LENGTH] @ powers for k in range(SEGMENTS)], axis=1).astype(np.uint32)
+        self.rare = np.minimum.reduceat(rare[at], start)
 
-    def keys(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """``node, key, the two sentences it is of, its share of the node's words``, each key once for a node."""
-        a, b = (golay.keys(self.whole[:, k].astype(np.uint32)) for k in range(2))
-        own = golay.index(self.whole[:, :2].astype(np.uint32)).astype(np.int64)
-        pairs = np.concatenate([np.where(b >= 0, own[:, :1] << golay.DATA | b, -1), np.where((a >= 0) & (a != own[:, :1]), a << golay.DATA | own[:, 1:2], -1)], axis=1)
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """``node, key``, each key once for a node."""
+        a, b = (golay.keys(self.segments[:, k]) for k in range(SEGMENTS))
+        own = golay.index(self.segments).astype(np.int64)
+        pairs = np.concatenate([np.where(b >= 0, own[:, :1] << golay.DATA | b, -1), np.where((a >= 0) & (a != own[:, :1]), a << golay.DATA | own[:, 1:], -1)], axis=1)
         part, place = np.nonzero(pairs >= 0)
-        out = [(self.node[part], _mix(pairs[part, place].astype(np.uint64), self.rare[part]), self.number[part], self.number[part], self.size[part] / self.words[part])]
-        # pairs of sides of one node in order of their hash
-        owner = self.node[self.side_of]
-        order = np.lexsort((self.side, owner))
-        number, rare, share = self.number[self.side_of], self.rare[self.side_of], self.side_size / self.words[self.side_of]
-        for d in range(1, SIDES + 1):
-            x, y = order[:-d], order[d:]
-            fit = (owner[x] == owner[y]) & (number[x] != number[y])
-            for one, two in ((x[fit], y[fit]), (y[fit], x[fit])):
-                out.append((owner[one], _mix(_mix(self.side[one], rare[one]), self.side[two]), number[one], number[two], share[one] + share[two]))
-        # a node of one sentence has its sides alone
-        alone = np.flatnonzero(np.isin(owner, self.node[self.size == self.words]))
-        out.append((owner[alone], _mix(self.side[alone], rare[alone]), number[alone], number[alone], share[alone]))
-        node, key, p, q, share = (np.concatenate(c) for c in zip(*out))
+        node, key = self.node[part], mix(pairs[part, place].astype(np.uint64), self.rare[part])
         order = np.lexsort((key, node))
-        first = order[np.concatenate([[True], (np.diff(node[order]) != 0) | (np.diff(key[order]) != 0)])]
-        return node[first], key[first], p[first] << 32 | q[first], share[first]
+        node, key = node[order], key[order]
+        first = np.concatenate([[True], (np.diff(node) != 0) | (np.diff(key) != 0)])
+        return node[first], key[first]
 
 
 def _batches(batch: pa.RecordBatch, prints: Fingerprints) -> Iterator[Parts]:
     nodes, sentences, n = [], [], 0
     for node, shown in zip(batch.column("node").to_pylist(), batch.column("shown").to_pylist()):
-        own = split_parts(shown)
+        if not (own := split_parts(shown)):
+            continue
         nodes.append(node)
         sentences.append(own)
         n += sum(map(len, own))
@@ -198,27 +141,15 @@ def _batches(batch: pa.RecordBatch, prints: Fingerprints) -> Iterator[Parts]:
         yield Parts(prints, nodes, sentences)
 
 
-def _keys(seen: np.ndarray, total: int, least: float):
-    """Batches of ``node, shown`` to ``node, key, p, large``: ``p`` names the key's sentences, ``large`` tells that they are so much of the text that it may be near by them alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        prints = Fingerprints(seen, total)
-        for batch in batches:
-            for parts in _batches(batch, prints):
-                node, key, p, share = parts.keys()
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.view(np.int64)), pa.array(p), pa.array(share >= least)], names=["node", "key", "p", "large"])
-
-    return run
-
-
-def _sides(seen: np.ndarray, total: int):
-    """Batches of ``node, shown`` to ``node, side, s``: the sides of each sentence with its number."""
+def _keys(seen: np.ndarray, total: int):
+    """Batches of ``node, shown`` to ``node, key``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prints = Fingerprints(seen, total)
         for batch in batches:
             for parts in _batches(batch, prints):
-                yield pa.RecordBatch.from_arrays([pa.array(parts.node[parts.side_of]), pa.array(parts.side.view(np.int64)), pa.array(parts.number[parts.side_of])], names=["node", "side", "s"])
+                node, key = parts.keys()
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(key.view(np.int64))], names=["node", "key"])
 
     return run
 
@@ -236,18 +167,18 @@ def nodes_of(rows: DataFrame, text: str) -> DataFrame:
     return cut(lines.groupBy("line").agg(F.min("shown").alias("shown")).select(F.monotonically_increasing_id().alias("node"), "shown"))
 
 
-def _met(keyed: DataFrame, hot: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs of nodes that share a key held by 2 to ``hot`` nodes, and ``key, node`` of keys held by more (written once)."""
+def _met(keyed: DataFrame, hot: int) -> DataFrame:
+    """Pairs of nodes that share a key held by 2 to ``hot`` nodes."""
     # one shuffle by key serves both counts and the join; most keys are held by one node and end there. The join would add
     # the filter on one side only, and the exchange would be made twice
     keyed = keyed.select("node", "key").where("key is not null").repartition("key")
     counted = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
     pair = counted.where("n = 2").select("key", "n", "low", "high")
-    more = keyed.join(counted.where("n > 2").select("key", "n").hint("shuffle_hash"), "key").select("key", "n", F.col("node").alias("low"), F.lit(None).cast("long").alias("high"))
+    more = keyed.join(counted.where(F.col("n").between(3, hot)).select("key", "n").hint("shuffle_hash"), "key").select("key", "n", F.col("node").alias("low"), F.lit(None).cast("long").alias("high"))
     held = cut(pair.unionByName(more))
     two = held.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-    fair = held.where(F.col("n").between(3, hot)).select("key", F.col("low").alias("node"))
-    return two.unionByName(_joined(fair, fair)), held.where(F.col("n") > hot).select("key", F.col("low").alias("node"))
+    fair = held.where("n > 2").select("key", F.col("low").alias("node"))
+    return two.unionByName(_joined(fair, fair))
 
 
 def _joined(one: DataFrame, other: DataFrame) -> DataFrame:
@@ -264,28 +195,10 @@ def near_pairs(rows: DataFrame, text: str, least: float = 0.8, size: int = 5, ho
     seen = np.zeros(COUNTERS, np.int64)
     seen[counted["c"].to_numpy()] = counted["n"].to_numpy()
     total = nodes.count()
-    source = nodes.select("node", "shown")
-    full_keys = "node long, key long, p long, large boolean"
-    pairs, crowded = _met(source.mapInArrow(_keys(seen, total, least), full_keys), hot)
-    left, made = SPLITS, None
-    while crowded.limit(1).count():
-        if not left:  # what is alike in so many sentences is near more often than not
-            pairs = pairs.unionByName(_joined(crowded, crowded))
-            break
-        left -= 1
-        # what a key is of is made anew, for the nodes of hot keys only
-        own = source.join(crowded.select("node").distinct(), "node", "left_semi")
-        told = crowded.join(own.mapInArrow(_keys(seen, total, least), full_keys) if made is None else made, ["node", "key"])
-        # a text that is near by these sentences alone meets all others of the key; the others must share a further side
-        pairs = pairs.unionByName(_joined(told.where("large"), crowded))
-        sides = own.mapInArrow(_sides(seen, total), "node long, side long, s long")
-        apart = (F.col("s") != F.shiftright("p", 32)) & (F.col("s") != F.col("p").bitwiseAND(F.lit(0xFFFFFFFF)))
-        split = told.where("not large").join(sides, "node").where(apart)
-        made = split.groupBy("node", F.xxhash64("key", "side").alias("key")).agg(F.min("p").alias("p"), F.lit(False).alias("large"))
-        met, crowded = _met(made, hot)
-        pairs = pairs.unionByName(met)
-    # the sets are made once for each node: both joins read one exchange
-    sets = nodes.select("node", shingle_set(words(F.col("shown")), size).alias("s"))
+    pairs = _met(nodes.select("node", "shown").mapInArrow(_keys(seen, total), "node long, key long"), hot)
+    # what shares no key, or none of few nodes, is found by the sets
+    sets = cut(nodes.select("node", shingle_set(words(F.col("shown")), size).alias("s")))
+    pairs = pairs.unionByName(overlap.candidates(sets, least, hot))
     x, y = (sets.select(F.col("node").alias(k), F.col("s").alias(f"s{k}")) for k in "ab")
     full = pairs.distinct().join(x, "a").join(y, "b")
     both = F.size(F.array_intersect("sa", "sb"))

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lexiloom.llm import golay, leakage, locale_match, near, packing, pii, survivor
+from lexiloom.llm import golay, leakage, locale_match, near, overlap, packing, pii, survivor
 
 LANGS = [("DE(독일)", "German Germany", "de_DE", "독어_독일", "de"), ("AT(오스트리아)", "German Austria", "de_AT", "독어_오스트리아", "de"), ("ES(스페인)", "Spanish Spain", "es_ES", "서반아어_스페인", "es"), ("JA(일본)", "Japanese", "ja_JP", "일어_일본", "ja")]
 
@@ -110,6 +110,39 @@ def test_near_pairs_that_share_no_sentence_are_all_found(spark):
     assert len(want) > 40 and {tuple(sorted((shown[r["a"]], shown[r["b"]]))) for r in pairs.collect()} == want
 
 
+@pytest.mark.parametrize("hot", [200, 2])
+def test_near_pairs_edited_in_every_side_are_all_found(spark, hot):
+    """Twins of one long sentence with edits all over it share neither a sentence nor a side of one; short texts share all their words or few."""
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choice("bdfgklmn") + rng.choice("aeiou") for _ in range(3)) for _ in range(400)]
+    texts = [" ".join(rng.choices(vocabulary[:4], k=rng.randint(1, 5))) for _ in range(60)]
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=40)
+        edited = list(base)
+        for i in (3, 12, 21, 30):
+            edited[i + rng.randrange(4)] = rng.choice(vocabulary)
+        texts += [" ".join(base), " ".join(edited)]
+    nodes, pairs = near.near_pairs(spark.createDataFrame([(t,) for t in texts], "text string"), "text", 0.45, 3, hot=hot)
+    shown = {r["node"]: r["shown"] for r in nodes.collect()}
+    want = brute(texts, 0.45, 3)
+    assert len(want) > 60 and {tuple(sorted((shown[r["a"]], shown[r["b"]]))) for r in pairs.collect()} == want
+
+
+@pytest.mark.parametrize(("least", "hot", "splits"), [(0.45, 2, 3), (0.45, 20, 1), (0.8, 2, 2), (1.0, 2, 1), (0.1, 3, 2)])
+def test_candidates_lose_no_pair_of_sets(spark, least, hot, splits):
+    rng = np.random.default_rng(7)
+    sets = []
+    for _ in range(120):  # few elements held by many sets, and sets of one element to thirty
+        own = {int(x) for x in rng.zipf(1.3, rng.integers(1, 30)) % 500}
+        sets += [own, own ^ {int(x) for x in rng.integers(500, 520, rng.integers(0, 3))}]
+    hashes = rng.integers(-(2**63), 2**63, 520)
+    df = spark.createDataFrame([(i, [int(hashes[x]) for x in s]) for i, s in enumerate(sets)], "node long, s array<long>")
+    want = {(i, j) for (i, x), (j, y) in itertools.combinations(enumerate(sets), 2) if len(x & y) / len(x | y) >= least}
+    got = [tuple(r) for r in overlap.candidates(df, least, hot, splits).collect()]
+    assert len(want) > 5 and len(got) == len(set(got)) and want <= set(got)
+    assert overlap.candidates(df.limit(0), least, hot, splits).count() == 0
+
+
 def test_near_pairs_of_empty_tables(spark):
     df = spark.createDataFrame([], "text string, id long, by string")
     assert near.near_pairs(df, "text")[1].count() == 0
